@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import decontam, packing, pages, pii, quality, substring, topk, toxicity
+from tarn.llm import decontam, ngram_join, packing, pages, pii, quality, substring, topk, toxicity
 from tarn.llm._store import table
 
 
@@ -38,12 +38,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_html_text, op3_topk, op4_decontamination, op5_quality, op6_substring_dedup, op7_packing, op9_toxicity)
+    f.__name__: f for f in (op1_pii, op2_html_text, op3_topk, op4_decontamination, op5_quality, op6_substring_dedup, op7_packing, op8_ngram_join, op9_toxicity)
 }
 
 OP3_SQL = r"""
@@ -82,4 +86,18 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k
 FROM d LEFT JOIN kept ON kept.r = d.r
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_decontamination": OP4_SQL, "op6_substring_dedup": OP6_SQL}
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[s : s + least(5, len(w)) - 1], ' ') AS gram
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS s FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, c = na.n AND c = nb.n AS same FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE c >= 0.8 * (na.n + nb.n - c) - 1e-9),
+r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.b FROM r JOIN l ON l.a = r.y),
+k AS (SELECT x, min(y) AS class_id FROM r GROUP BY x),
+e AS (SELECT a, count(*) AS n_links, min(CASE WHEN same THEN b END) AS copy FROM l GROUP BY a)
+SELECT d.doc_id, least(d.doc_id, coalesce(e.copy, d.doc_id)) AS copy_id, k.class_id, CAST(coalesce(e.n_links, 0) AS BIGINT) AS n_links
+FROM d JOIN k ON k.x = d.doc_id LEFT JOIN e ON e.a = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_decontamination": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op8_ngram_join": OP8_SQL}

@@ -211,5 +211,9 @@ def keep_first(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHO
     """docs with the first document of each component alone (the smallest doc_id); rows without doc_id stay."""
     later = _store.written(join(docs, width, threshold).where("class_id < doc_id").select("doc_id").distinct())
     kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    repeated = _store.written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if not repeated.limit(1).count():
+        return kept
     # Repeated rows of one doc_id are copies: one of them stays.
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)

@@ -308,7 +308,10 @@ def redact(docs: DataFrame, length_column: str | None = None) -> DataFrame:
     A null text stays null. length_column, if there is one, gets the new number of code points.
     """
     columns = docs.columns
-    out = with_spans(docs, "_pii")
+    own = "_pii"
+    while any(c.startswith(own) for c in columns):
+        own += "_"
+    out = with_spans(docs, own)
     text = F.col("text").cast("string")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
@@ -318,8 +321,8 @@ def redact(docs: DataFrame, length_column: str | None = None) -> DataFrame:
         piece = F.when(inside, F.lit("")).otherwise(F.concat(kept, F.lit("["), F.upper(x["kind"]), F.lit("]")))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
-    done = F.aggregate(F.col("_pii"), start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    out = out.withColumn("text", F.when(F.size("_pii") > 0, done).otherwise(text))
+    done = F.aggregate(F.col(own), start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    out = out.withColumn("text", F.when(F.size(own) > 0, done).otherwise(text))
     if length_column and length_column in columns:
         out = out.withColumn(length_column, F.length("text").cast(docs.schema[length_column].dataType))
     return out.select(*columns)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarn.llm import decontam, ngram_join, packing, pages, pii, quality, substring, topk, toxicity
+from tarn.llm import chat, decontam, ngram_join, packing, pages, pii, quality, substring, topk, toxicity
 from tarn.llm._store import table
 
 
@@ -46,8 +47,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = chat.link(table(spark, sf_dir, "conversations"))
+    return linked.withColumn("errors", F.array_join("errors", "; "))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_html_text, op3_topk, op4_decontamination, op5_quality, op6_substring_dedup, op7_packing, op8_ngram_join, op9_toxicity)
+    f.__name__: f for f in (op1_pii, op2_html_text, op3_topk, op4_decontamination, op5_quality, op6_substring_dedup, op7_packing, op8_ngram_join, op9_toxicity, op10_chat)
 }
 
 OP3_SQL = r"""
@@ -100,4 +106,11 @@ SELECT d.doc_id, least(d.doc_id, coalesce(e.copy, d.doc_id)) AS copy_id, k.class
 FROM d JOIN k ON k.x = d.doc_id LEFT JOIN e ON e.a = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_decontamination": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op8_ngram_join": OP8_SQL}
+#: For conversations without tool calls, as the tables have them; calls are tested on small fixtures.
+OP10_SQL = r"""
+SELECT conv_id, turn, coalesce(role, 'user') AS role, turn AS at_turn, CAST(0 AS INTEGER) AS at_step, CAST(0 AS INTEGER) AS n_calls, CAST(NULL AS VARCHAR) AS call_id,
+       'plain' AS status, '' AS errors, '{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"role":' || CAST(to_json(coalesce(role, 'user')) AS VARCHAR) || '}' AS json
+FROM conversations
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_decontamination": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op8_ngram_join": OP8_SQL, "op10_chat": OP10_SQL}

@@ -75,8 +75,16 @@ def _sweep() -> None:
             return
 
 
+#: Rows and bytes of an Arrow batch, where the session leaves Spark's defaults: rows are whole texts here.
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives Python workers this package, unless they find it as the driver does."""
+    """Gives Python workers this package, unless they find it as the driver does, and batches of bounded size."""
+    for key, usual, own in (("maxRecordsPerBatch", ("10000",), ARROW_ROWS), ("maxBytesPerBatch", (str(2**31 - 1), str(2**63 - 1), "-1"), ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, usual[0]).removesuffix("b") in usual:
+            spark.conf.set(key, str(own))
     found = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if str(_ROOT) in found or os.path.realpath(os.getcwd()) == str(_ROOT) or getattr(spark.sparkContext, "_tarn_shipped", False):
         return

@@ -151,10 +151,20 @@ def _lookup(phrases: _Phrases, slop: int, rest: int = 1 << 21):
     return run
 
 
+def _indexed_lookup(phrases: _Phrases, slop: int):
+    """Each shard is indexed and searched in one Python worker: its postings needn't travel."""
+    index, look = _indexer(phrases.vocabulary, phrases.width + 2 * slop + 1), _lookup(phrases, slop)
+    return lambda batches: look(index(batches))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+
+
 def build_index(docs: DataFrame, vocabulary: np.ndarray, gap: int) -> DataFrame:
-    """One row for each shard of documents: its documents, and term, count and ascending positions of every posting list."""
+    """The index as a table: one row for each shard of documents, with its documents, and term, count and ascending positions of every posting list."""
     _store.ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(_indexer(vocabulary, gap), _INDEX)
+    return _rows(docs).mapInArrow(_indexer(vocabulary, gap), _INDEX)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -172,7 +182,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int =
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
         phrases = _Phrases([(r["item_id"], r["text"]) for r in own.collect()], width)
-        parts.append(build_index(docs, phrases.vocabulary, width + 2 * slop + 1).mapInArrow(_lookup(phrases, slop), _MATCHES))
+        parts.append(_rows(docs).mapInArrow(_indexed_lookup(phrases, slop), _MATCHES))
     if blocks == 1:
         return parts[0]
     union = parts[0]

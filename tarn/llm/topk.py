@@ -136,10 +136,16 @@ def _searcher(sent, k: int):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, weights = sent.value
         best = _Best(ids, weights.astype(np.int64), k)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
             for lo in range(0, b.num_rows, BLOCK):
                 part = b.slice(lo, BLOCK)
-                best.add(part.column(0).to_numpy(), _matrix(part.column(1), weights.shape[1]))
+                held.append((part.column(0).to_numpy(), _matrix(part.column(1), weights.shape[1])))
+                if sum(len(x[0]) for x in held) >= BLOCK:
+                    best.add(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held = []
+        if held:
+            best.add(*(np.concatenate(x) for x in zip(*held, strict=True)))
         row, place = np.nonzero(best.valid)
         for lo in range(0, len(row), 50_000):
             r, p = row[lo : lo + 50_000], place[lo : lo + 50_000]

@@ -19,6 +19,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from tarn.llm import _store
 CAPACITY = 1024
 SEPARATOR = 2
 #: Pieces that one task packs.
-PIECES_PER_TASK = 50_000
+PIECES_PER_TASK = 20_000
 #: Bins with more free tokens than this are opened again in the second round.
 LOOSE = 16
 
@@ -116,48 +117,90 @@ class Bins:
         return sum(f * f for f in self.fill)
 
     def local_search(self) -> None:
-        """Empties the least filled bin again and again, as far as exchanges with other underfull bins allow."""
-        under = sorted((b for b in range(len(self.items)) if self.fill[b] < self.capacity), key=lambda b: self.fill[b])
-        for source in under:
-            others = [b for b in under if b != source and self.capacity > self.fill[b] >= self.fill[source] > 0]
-            changed = True
-            while changed and self.items[source]:
-                changed = any(self._improve(source, b) for b in others)
-
-    def _improve(self, source: int, target: int) -> bool:
-        free = self.capacity - self.fill[target]
-        if not free or self.fill[target] < self.fill[source]:
-            return False
-        own = sorted(self.items[source], reverse=True)
-        for x in own:  # move
-            if x[0] <= free:
-                return self._swap(source, [x], target, [])
-        theirs = sorted(self.items[target])
-        best: tuple[int, tuple, list] | None = None
-        for x in own:  # one for one
-            at = bisect_left(theirs, (x[0] - free, -1))
-            if at < len(theirs) and 0 < (gain := x[0] - theirs[at][0]) <= free and (best is None or gain > best[0]):
-                best = gain, x, [theirs[at]]
-        if best is None or best[0] < free:
-            for x in own:  # two of theirs for one of its own
-                i, j = 0, len(theirs) - 1
-                while i < j:
-                    gain = x[0] - theirs[i][0] - theirs[j][0]
-                    if 0 < gain <= free and (best is None or gain > best[0]):
-                        best = gain, x, [theirs[i], theirs[j]]
-                    if gain > free:
-                        i += 1
-                    else:
-                        j -= 1
-        return best is not None and self._swap(source, [best[1]], target, best[2])
-
-    def _swap(self, source: int, out: list, target: int, back: list) -> bool:
-        for a, gone, come in ((source, out, back), (target, back, out)):
-            for x in gone:
-                self.items[a].remove(x)
-            self.items[a] += come
-            self.fill[a] += sum(x[0] for x in come) - sum(x[0] for x in gone)
-        return True
+        """Exchanges between underfull bins until none increases the squares: the emptiest bins give first and run empty.
+
+        An exchange takes one piece out of a bin into another, for nothing (a move), for one smaller piece or for two.
+        For every sum that a bin can give back, a heap knows the emptiest bin that has it, so one look-up finds a
+        piece's best exchange among all bins.
+        """
+        self._tops = np.full(self.capacity + 1, -1, np.int64)  # most room of a bin that can give this sum back
+        self._heaps: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(self.capacity + 1)]
+        under = [b for b in range(len(self.items)) if 0 < self.fill[b] < self.capacity]
+        for b in under:
+            self._offer(b)
+        changed = len(under) > 1
+        while changed:
+            changed = False
+            for source in sorted(under, key=lambda b: (self.fill[b], b)):
+                while 0 < self.fill[source] < self.capacity and self._improve(source):
+                    changed = True
+
+    def _gives(self, b: int) -> dict[int, tuple[int, ...]]:
+        """What a bin can give back by sum: nothing, a piece or two."""
+        sizes = sorted({s for s, _ in self.items[b]})
+        twice = {s for s in sizes if sum(x[0] == s for x in self.items[b]) > 1}
+        out: dict[int, tuple[int, ...]] = {0: ()}
+        for i, s in enumerate(sizes):
+            for t in sizes[i:]:
+                if s + t < self.capacity and (s != t or s in twice):
+                    out.setdefault(s + t, (s, t))
+        return out | {s: (s,) for s in sizes}
+
+    def _offer(self, b: int) -> None:
+        free = self.capacity - self.fill[b]
+        if 0 < free < self.capacity:
+            for total, gives in self._gives(b).items():
+                heappush(self._heaps[total], (-free, b, gives))
+                self._tops[total] = max(self._tops[total], free)
+
+    def _top(self, total: int, source: int) -> tuple[int, tuple[int, ...]] | None:
+        """The emptiest bin but the source that gives this sum back; entries that no longer hold go."""
+        heap, aside, found = self._heaps[total], [], None
+        while heap:
+            free, b, gives = heap[0]
+            if -free != self.capacity - self.fill[b] or not self._has(b, gives):
+                heappop(heap)
+            elif b == source:
+                aside.append(heappop(heap))
+            else:
+                found = b, gives
+                break
+        for x in aside:
+            heappush(heap, x)
+        self._tops[total] = -heap[0][0] if heap else -1
+        return found
+
+    def _has(self, b: int, gives: tuple[int, ...]) -> bool:
+        own = [s for s, _ in self.items[b]]
+        return all(own.count(s) >= gives.count(s) for s in set(gives))
+
+    def _improve(self, source: int) -> bool:
+        for x in sorted(self.items[source], reverse=True):
+            for total in np.flatnonzero(self._tops[: x[0]] >= x[0] - np.arange(x[0])).tolist():
+                found = self._top(total, source)
+                if found is None:
+                    continue
+                target, gives = found
+                gain = x[0] - total
+                if gain <= self.capacity - self.fill[target] and self.fill[target] + gain > self.fill[source]:
+                    self._swap(source, x, target, gives)
+                    return True
+        return False
+
+    def _swap(self, source: int, x: tuple[int, int], target: int, gives: tuple[int, ...]) -> None:
+        back = []
+        for s in gives:
+            back.append(next(y for y in self.items[target] if y[0] == s and y not in back))
+        self.items[source].remove(x)
+        for y in back:
+            self.items[target].remove(y)
+        self.items[source] += back
+        self.items[target].append(x)
+        gain = x[0] - sum(gives)
+        self.fill[source] -= gain
+        self.fill[target] += gain
+        self._offer(source)
+        self._offer(target)
 
 
 def _pack(capacity: int, numbers_from: int):

@@ -159,6 +159,17 @@ _LAYOUTS = [
     "<div class=sidebar>n:16 n:[4]</div> <div id=main>a:11 a:2 a:37</div> <div class=newsletter>n:24</div>",
     "n:[2] n:[3] n:[1] a:41 a:66 a:29 n:[4] n:[2] n:5",
     "<h1>a:8</h1> a:53 <h2>a:3</h2> a:31 a:19 <footer>n:12</footer>",
+    # furniture within the article, short and long
+    "<article>a:1 <aside>n:1</aside> a:2 <form>n:1</form> a:70 <nav>n:2 n:[1]</nav> a:3 <footer>n:4</footer></article>",
+    "<article><header><h1>a:5</h1> a:4</header> a:33 <aside>n:85</aside> a:21 <form>n:45 n:1</form> <footer>n:60</footer></article>",
+    "<main><nav>n:[2] n:[2]</nav> a:9 a:1 <aside>n:44 n:7</aside> a:52 <form>n:3</form></main> <footer>n:70</footer>",
+    "<article>a:16 <div class=ad>n:1</div> a:1 <div class=advert>n:66</div> a:90 <div class=share>n:2 n:[1]</div> <div class=newsletter>n:31</div></article>",
+    "<article>a:3 <div class=comment-body>n:38</div> <div id=comments>n:1 n:95</div></article>",
+    "<article>a:24 a:[3] a:6 a:1 a:[1] a:110 a:2 <ul>a:4 a:3 a:[2]</ul> <table>a:1 a:1</table> a:5</article>",
+    # furniture as long as articles, without any article element
+    "<nav>n:40 n:[1]</nav> a:60 a:34 <aside>n:90 n:55</aside> a:47 <form>n:50</form> <footer>n:100</footer>",
+    "<div id=sidebar>n:80 n:41</div> a:72 a:38 a:55 <div class=comments>n:64 n:77 n:30</div> <div class=notice>n:48</div>",
+    "<header>n:35 n:1</header> <div class=post>a:2 a:1 a:61 a:1 a:17</div> <div class=cookie>n:58</div>",
 ]
 
 

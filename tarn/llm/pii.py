@@ -245,7 +245,7 @@ def _checked_column(kind: str, value: Column) -> Column:
     if kind == "iban":
         plain = F.replace(value, F.lit(" "), F.lit(""))
         turned = F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4))
-        signs = F.transform(F.split(turned, "(?!^)", -1), lambda c: F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.ascii(c) - 55))
+        signs = F.transform(F.regexp_extract_all(turned, F.lit("[0-9A-Z]"), F.lit(0)), lambda c: F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.ascii(c) - 55))
         rest = F.aggregate(signs, F.lit(0), lambda acc, s: F.when(s > 9, (acc * 100 + s) % 97).otherwise((acc * 10 + s) % 97))
         return rest == 1
     return F.lit(False)

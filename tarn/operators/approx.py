@@ -104,15 +104,15 @@ class PrunedIndex:
             limit = own.approxQuantile("value", [1 - total / count], 0.001)[0]
             own = own.where(F.col("value") >= limit)
         own = own.select("term", "doc_id", "value").persist(StorageLevel.MEMORY_AND_DISK)
-        # Centroids: documents of a list picked by hash; a document joins the centroid with which its main components agree most.
+        # Blocks: each list has centroid components, picked by hash; a document joins the strongest of its main
+        # components that is one. This is linear in the postings, whatever the length of a list.
         main = Window.partitionBy("doc_id").orderBy(F.col("value").desc(), "term")
-        heads = rows.withColumn("_r", F.row_number().over(main)).where(F.col("_r") <= doc_cut).select("doc_id", F.col("term").alias("component"), "value")
+        ranked_components = rows.withColumn("_r", F.row_number().over(main)).where(F.col("_r") <= doc_cut)
+        heads = ranked_components.select("doc_id", F.col("term").alias("component"), "value")
+        mains = ranked_components.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_r", "term"))).alias("main"))
         every = max(1, round(1 / centroid_fraction))
-        chosen = own.where(F.pmod(F.xxhash64("term", "doc_id"), F.lit(every)) == 0).select("term", F.col("doc_id").alias("centroid"))
-        near = own.select("term", "doc_id").join(chosen, "term").join(heads, "doc_id").join(heads.select(F.col("doc_id").alias("centroid"), "component", F.col("value").alias("other")), ["centroid", "component"])
-        agreed = near.groupBy("term", "doc_id", "centroid").agg(F.sum(F.col("value") * F.col("other")).alias("s"))
-        best = agreed.groupBy("term", "doc_id").agg(F.max(F.struct("s", (-F.col("centroid")).alias("c"))).alias("b"))
-        lists = own.select("term", "doc_id").join(best, ["term", "doc_id"], "left").select("term", "doc_id", F.coalesce(-F.col("b.c"), F.lit(-1)).alias("block"))
+        chosen = F.filter("main", lambda m: (m["term"] != F.col("term")) & (F.pmod(F.xxhash64(F.col("term"), m["term"]), F.lit(every)) == 0))
+        lists = own.select("term", "doc_id").join(mains, "doc_id").select("term", "doc_id", F.coalesce(F.xxhash64(F.get(chosen, F.lit(0))["term"]), F.lit(-1)).alias("block"))
         small = lists.groupBy("term", "block").agg(F.count("*").alias("n")).where(F.col("n") < min_cluster_size).select("term", F.col("block").alias("small"))
         small = small.withColumnsRenamed({"term": "s_term", "small": "s_block"})
         lists = lists.join(small, (F.col("term") == F.col("s_term")) & (F.col("block") == F.col("s_block")), "left").select("term", "doc_id", F.when(F.col("s_block").isNotNull(), F.lit(-1)).otherwise(F.col("block")).alias("block")).persist(StorageLevel.MEMORY_AND_DISK)

@@ -92,6 +92,13 @@ async def search_async(index: Index, queries: DataFrame, k: int = 10, **options)
     return await asyncio.to_thread(lambda: search(index, queries, k, **options).collect())
 
 
+def search_one(index: Index, weights: dict[str | int, float], k: int = 10, model: Model | None = None) -> DataFrame:
+    """rank, doc_id, score of one query: a bounded heap in each task, merged at the end (no window, no second shuffle)."""
+    found = scores(index, from_map(index, {0: weights}), model).select("doc_id", F.round("score", DIGITS).alias("score")).where("score > 0")
+    best = found.orderBy(F.col("score").desc(), "doc_id").limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "doc_id"))).select("rank", "doc_id", "score")  # of k rows
+
+
 def from_map(index: Index, queries: dict[int, dict[str | int, float]]) -> DataFrame:
     """queries as a table, from {qid: {term: weight}}."""
     return index.spark.createDataFrame([(q, str(t), float(w)) for q, own in queries.items() for t, w in own.items()], "qid bigint, term string, weight double")

@@ -55,21 +55,35 @@ class Analyzer:
 
     # --- plans
 
-    def tokens(self, docs: DataFrame, key: str = "doc_id", text: str = "text", for_query: bool = False) -> DataFrame:
-        """key, pos, term: a row for each term that stays."""
-        rows = docs.select(F.col(key).cast("bigint").alias(key), F.posexplode(tokenizers.TOKENIZERS[self.tokenizer](F.col(text))).alias("pos", "word")).where("word is not null")
+    def tokens(self, docs: DataFrame, key: str = "doc_id", text: str = "text", for_query: bool = False, lengths: bool = False) -> DataFrame:
+        """key, pos, term (and dl, how many terms the text keeps): a row for each term that stays.
+
+        Stop words compared before stemming go while a text is still one row, so neither positions without gaps nor
+        lengths need its tokens gathered again; only filters after stemming do.
+        """
         words = set(self.stop_words) | (set(self.query_stop_words) if for_query else set())
+        array = tokenizers.TOKENIZERS[self.tokenizer](F.col(text))
+        stemmed = bool(self.stemmer and self.stemmer != "none")
+        late = stemmed or (bool(words) and self.stop_mode != PRE)
         if words and self.stop_mode in (PRE, BOTH):
-            rows = rows.where(~F.col("word").isin(sorted(words)))
-        if self.stemmer and self.stemmer != "none":
+            listed = sorted(words)
+            array = F.transform(array, lambda w: F.when(~w.isin(listed), w))
+        if not self.position_gaps and not late:
+            array = F.filter(array, F.isnotnull)
+        rows = docs.select(F.col(key).cast("bigint").alias(key), array.alias("words"))
+        size = F.size(F.filter("words", F.isnotnull)).cast("int")
+        rows = rows.select(key, *([] if late or not lengths else [size.alias("dl")]), F.posexplode("words").alias("pos", "word")).where("word is not null")
+        if stemmed:
             rows = rows.join(stems(rows.select("word").distinct(), self.stemmer, self.language), "word").select(key, "pos", F.col("stem").alias("term")).where("term <> ''")
         else:
-            rows = rows.select(key, "pos", F.col("word").alias("term"))
+            rows = rows.withColumnRenamed("word", "term")
         if words and self.stop_mode != PRE:
             rows = rows.where(~F.col("term").isin(sorted(words if self.stop_mode == POST else {self.stem(w) for w in words})))
-        if not self.position_gaps:
+        if not self.position_gaps and late:
             rows = rows.withColumn("pos", (F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1).cast("int"))
-        return rows
+        if lengths and late:
+            rows = rows.withColumn("dl", F.count("*").over(Window.partitionBy(key)).cast("int"))
+        return rows.select(key, "pos", "term", *(["dl"] if lengths else []))
 
     def stem(self, word: str) -> str:
         f = stemmers.stemmer(self.stemmer, self.language)

@@ -8,6 +8,7 @@ folder and session and then read by many queries, as a service would.
 from __future__ import annotations
 
 import tempfile
+import time
 import weakref
 from collections.abc import Callable
 
@@ -19,11 +20,12 @@ from tarn.functions.scoring import BM25, Dot
 from tarn.operators import approx, evaluate, transforms
 from tarn.operators.docstore import DocStore
 from tarn.operators.index import BuildOptions, Index, from_impacts, from_text, numbered
-from tarn.operators.search import search, search_text, two_phase
+from tarn.operators.search import search, search_one, search_text, two_phase
 from tarn.operators.segments import SegmentedIndex
 from tarn.operators.structured import search_structured
 from tarn.plans.analyzer import Analyzer
 from tarn.sources import store
+from tarn.streaming.ingest import Incremental
 
 _open: dict[tuple, tuple[weakref.ref, Index]] = {}
 STOPS = ("the", "of", "and", "a", "to", "in")
@@ -121,6 +123,11 @@ def _bm25(extra: str = "", idf: str = _ROBERTSON, weight: str = "q.weight", sour
     return f"WITH {_STATS}, {_QWORDS}{extra} " + _ranked(f"SELECT qid, post.doc_id, sum({weight} * {idf} * {_TF}) AS score FROM {source} JOIN post ON post.term = {source}.term JOIN dls ON dls.doc_id = post.doc_id JOIN dfs ON dfs.term = post.term, st {where} GROUP BY 1, 2")
 
 
+def _virtual(freq: str, df: str, k: int = 10) -> str:
+    """SQL of a clause: freq gives qid, doc_id, tf; df an expression."""
+    return f"WITH {_STATS}, v AS ({freq}) " + _ranked(f"SELECT qid, v.doc_id, greatest(ln((st.n - least({df}, st.n) + 0.5) / (least({df}, st.n) + 0.5)), 1e-6) * {_TF} AS score FROM v JOIN dls USING (doc_id), st", k)
+
+
 # ------------------------------------------------------------------------------------------- sources and statistics
 
 
@@ -206,6 +213,42 @@ def build_dense_lengths(spark, sf_dir):  # noqa: ANN001, ANN201
     return lines_index(spark, sf_dir).docs.select("doc_id", "dl")
 
 
+@query(f"WITH {_POST} SELECT CAST((SELECT sum(tf) FROM post) AS BIGINT) AS tokens, CAST((SELECT count(*) FROM post) AS BIGINT) AS postings, CAST((SELECT count(DISTINCT term) FROM post) AS BIGINT) AS terms")
+def build_bow_batch(spark, sf_dir):  # noqa: ANN001, ANN201
+    """All texts at once: the only way to build."""
+    return from_text(read(spark, sf_dir, "documents"), Analyzer("pisa")).postings.agg(F.sum("value").cast("bigint").alias("tokens"), F.count("*").alias("postings"), F.countDistinct("term").alias("terms"))
+
+
+# ----------------------------------------------------------------------------------------------------------- sinks
+
+
+@query(f"WITH {_LINES} SELECT 'postings' AS part, CAST(count(*) AS BIGINT) AS n FROM lp UNION ALL SELECT 'terms', CAST(count(DISTINCT term) AS BIGINT) FROM lp UNION ALL SELECT 'docs', CAST((SELECT max(l_orderkey) + 1 FROM lineitem) AS BIGINT)")
+def sink_build(spark, sf_dir):  # noqa: ANN001, ANN201
+    """What a written index holds, table by table."""
+    index = lines_index(spark, sf_dir)
+    part = lambda name, df: df.agg(F.lit(name).alias("part"), F.count("*").alias("n"))
+    return part("postings", index.postings).unionByName(part("terms", index.terms)).unionByName(part("docs", index.docs))
+
+
+@query(f"WITH {_LINES}, m AS (SELECT max(value) AS m FROM lp), r AS (SELECT term, (CAST(greatest(0, least(trunc(value / (m / 16)), 15)) AS BIGINT)) * (m / 16) + m / 32 AS v, floor((row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) / 128) AS b FROM lp, m) SELECT term, CAST(b AS INTEGER) AS block_no, CAST(count(*) AS INTEGER) AS len, max(v) AS max_value FROM r GROUP BY 1, 2")
+def sink_compress(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Blocks of 4-bit values; a block's largest value is that of the decoded ones."""
+    packed, _ = transforms.compress(lines_index(spark, sf_dir), 4)
+    return transforms.blocks(packed.postings, 128, lists=False).select("term", "block_no", "len", "max_value")
+
+
+@query(f"WITH {_DOT}, mx AS (SELECT max(value) AS m FROM dp), f AS (SELECT term, CAST(floor(doc_id / 64) AS BIGINT) AS block, CAST(least(greatest(trunc(value * 256 / m), 0), 255) AS INTEGER) AS q FROM dp, mx) SELECT term, block, max(q) AS q FROM f GROUP BY 1, 2")
+def sink_bmp(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The block-max form, written and opened again."""
+    return store.save_variant(approx.BlockMaxIndex.build(dot_index(spark, sf_dir)), f"{_folder(spark)}/bmp-{time.monotonic_ns()}").block_max
+
+
+@query()
+def sink_seismic(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The pruned form, written and opened again."""
+    return store.save_variant(approx.PrunedIndex.build(dot_index(spark, sf_dir), n_postings=200), f"{_folder(spark)}/pruned-{time.monotonic_ns()}").lists
+
+
 # ------------------------------------------------------------------------------------------------------ tokenizers
 
 
@@ -385,6 +428,20 @@ def filter_both(spark, sf_dir):  # noqa: ANN001, ANN201
     return _scored(search_text(text_index(spark, sf_dir), text_queries(spark, sf_dir), 10, model=BM25(), deleted=labels.where("toxic = 1"), allowed=labels.where("quality = 1")))
 
 
+@query(_virtual("SELECT CAST(1 AS BIGINT) AS qid, doc_id, tf FROM post WHERE term = 'and'", "(SELECT df FROM dfs WHERE term = 'and')").replace("SELECT qid, CAST(rank", "SELECT CAST(rank"))
+def topk_heap(spark, sf_dir):  # noqa: ANN001, ANN201
+    return _scored(search_one(text_index(spark, sf_dir), {"and": 1.0}, 10, BM25()))
+
+
+@query(_bm25())
+def unknown_terms(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Terms that no document has change nothing."""
+    index = text_index(spark, sf_dir)
+    terms = index.analyzer.query_terms(text_queries(spark, sf_dir))
+    extra = terms.select("qid").distinct().select("qid", F.lit("no such term").alias("term"), F.lit(5.0).alias("weight"))
+    return _scored(search(index, terms.unionByName(extra), 10, BM25()))
+
+
 @query("SELECT CAST(doc_id AS BIGINT) AS doc_id FROM labels WHERE toxic = 1")
 def docset(spark, sf_dir):  # noqa: ANN001, ANN201
     return read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
@@ -397,30 +454,25 @@ def _structured(spark: SparkSession, sf_dir: str, queries: dict, k: int = 10, mo
     return _scored(search_structured(text_index(spark, sf_dir), queries, k, model or BM25()))
 
 
-def _virtual(freq: str, df: str, k: int = 10) -> str:
-    """SQL of a clause: freq gives qid, doc_id, tf; df an expression."""
-    return f"WITH {_STATS}, v AS ({freq}) " + _ranked(f"SELECT qid, v.doc_id, greatest(ln((st.n - least({df}, st.n) + 0.5) / (least({df}, st.n) + 0.5)), 1e-6) * {_TF} AS score FROM v JOIN dls USING (doc_id), st", k)
-
-
 _DF2 = "(SELECT sum(df) FROM dfs WHERE term IN ('the', 'and'))"
 
 
-@query(_virtual("SELECT 1 AS qid, doc_id, tf FROM post WHERE term = 'the'", "(SELECT df FROM dfs WHERE term = 'the')"))
+@query(_virtual("SELECT CAST(1 AS BIGINT) AS qid, doc_id, tf FROM post WHERE term = 'the'", "(SELECT df FROM dfs WHERE term = 'the')"))
 def q_term(spark, sf_dir):  # noqa: ANN001, ANN201
     return _structured(spark, sf_dir, {1: "the"})
 
 
-@query(_virtual("SELECT 1 AS qid, doc_id, sum(tf) AS tf FROM post WHERE term IN ('the', 'and') GROUP BY 2", _DF2))
+@query(_virtual("SELECT CAST(1 AS BIGINT) AS qid, doc_id, sum(tf) AS tf FROM post WHERE term IN ('the', 'and') GROUP BY 2", _DF2))
 def q_syn(spark, sf_dir):  # noqa: ANN001, ANN201
     return _structured(spark, sf_dir, {1: "#syn(the and)"})
 
 
-@query(_virtual("SELECT 1 AS qid, doc_id, 1 AS tf FROM post WHERE term IN ('the', 'and') GROUP BY 2 HAVING count(*) = 2", _DF2))
+@query(_virtual("SELECT CAST(1 AS BIGINT) AS qid, doc_id, 1 AS tf FROM post WHERE term IN ('the', 'and') GROUP BY 2 HAVING count(*) = 2", _DF2))
 def q_band(spark, sf_dir):  # noqa: ANN001, ANN201
     return _structured(spark, sf_dir, {1: "#band(the and)"})
 
 
-@query(_virtual("SELECT 1 AS qid, a.doc_id, count(*) AS tf FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'in' AND b.term = 'the' GROUP BY 2", "(SELECT floor(n / 100) FROM st)"))
+@query(_virtual("SELECT CAST(1 AS BIGINT) AS qid, a.doc_id, count(*) AS tf FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'in' AND b.term = 'the' GROUP BY 2", "(SELECT floor(n / 100) FROM st)"))
 def q_phrase(spark, sf_dir):  # noqa: ANN001, ANN201
     return _structured(spark, sf_dir, {1: "#1(in the)"})
 
@@ -430,7 +482,7 @@ _SEED = "CASE WHEN (SELECT count(*) FROM tokens t WHERE t.doc_id = d.doc_id AND
 
 @query(
     _virtual(
-        "SELECT 1 AS qid, s.doc_id, count(DISTINCT s.pos) AS tf FROM (SELECT a.doc_id, CASE WHEN a.tf <= b.tf THEN 'of' ELSE 'the' END AS seed, CASE WHEN a.tf <= b.tf THEN 'the' ELSE 'of' END AS other FROM post a JOIN post b ON a.doc_id = b.doc_id WHERE a.term = 'of' AND b.term = 'the') d "
+        "SELECT CAST(1 AS BIGINT) AS qid, s.doc_id, count(DISTINCT s.pos) AS tf FROM (SELECT a.doc_id, CASE WHEN a.tf <= b.tf THEN 'of' ELSE 'the' END AS seed, CASE WHEN a.tf <= b.tf THEN 'the' ELSE 'of' END AS other FROM post a JOIN post b ON a.doc_id = b.doc_id WHERE a.term = 'of' AND b.term = 'the') d "
         "JOIN tokens s ON s.doc_id = d.doc_id AND s.term = d.seed JOIN tokens o ON o.doc_id = d.doc_id AND o.term = d.other AND abs(o.pos - s.pos) < 8 GROUP BY 2",
         "(SELECT floor(n / 100) FROM st)",
     )
@@ -441,7 +493,7 @@ def q_window(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query(
     f"WITH {_STATS}, c AS (SELECT doc_id, 2.0 AS w, tf, (SELECT df FROM dfs WHERE term = 'the') AS df FROM post WHERE term = 'the' UNION ALL SELECT doc_id, 0.5, sum(tf), (SELECT sum(df) FROM dfs WHERE term IN ('of', 'and')) FROM post WHERE term IN ('of', 'and') GROUP BY 1) "
-    + _ranked(f"SELECT 1 AS qid, c.doc_id, sum(w * greatest(ln((st.n - least(df, st.n) + 0.5) / (least(df, st.n) + 0.5)), 1e-6) * {_TF}) AS score FROM c JOIN dls USING (doc_id), st GROUP BY 2")
+    + _ranked(f"SELECT CAST(1 AS BIGINT) AS qid, c.doc_id, sum(w * greatest(ln((st.n - least(df, st.n) + 0.5) / (least(df, st.n) + 0.5)), 1e-6) * {_TF}) AS score FROM c JOIN dls USING (doc_id), st GROUP BY 2")
 )
 def q_combine(spark, sf_dir):  # noqa: ANN001, ANN201
     return _structured(spark, sf_dir, {1: "#combine:0=2:1=0.5(the #syn(of and))"})
@@ -449,19 +501,19 @@ def q_combine(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query(
     f"WITH {_STATS}, c AS (SELECT doc_id, 3.0 AS w, tf, (SELECT df FROM dfs WHERE term = 'the') AS df FROM post WHERE term = 'the' UNION ALL SELECT doc_id, 2.0, tf, (SELECT df FROM dfs WHERE term = 'with') FROM post WHERE term = 'with') "
-    + _ranked(f"SELECT 1 AS qid, c.doc_id, sum(w * greatest(ln((st.n - df + 0.5) / (df + 0.5)), 1e-6) * {_TF}) AS score FROM c JOIN dls USING (doc_id), st GROUP BY 2")
+    + _ranked(f"SELECT CAST(1 AS BIGINT) AS qid, c.doc_id, sum(w * greatest(ln((st.n - df + 0.5) / (df + 0.5)), 1e-6) * {_TF}) AS score FROM c JOIN dls USING (doc_id), st GROUP BY 2")
 )
 def q_flatten(spark, sf_dir):  # noqa: ANN001, ANN201
     return _structured(spark, sf_dir, {1: "#combine(the #combine:0=2:1=2(the with))"})
 
 
-@query(_virtual("SELECT 1 AS qid, a.doc_id, 1 AS tf FROM (SELECT DISTINCT doc_id FROM post WHERE term IN ('is', 'was')) a JOIN (SELECT DISTINCT a.doc_id FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'in' AND b.term = 'the') b USING (doc_id)", "(SELECT sum(df) FROM dfs WHERE term IN ('is', 'was')) + (SELECT floor(n / 100) FROM st)"))
+@query(_virtual("SELECT CAST(1 AS BIGINT) AS qid, a.doc_id, 1 AS tf FROM (SELECT DISTINCT doc_id FROM post WHERE term IN ('is', 'was')) a JOIN (SELECT DISTINCT a.doc_id FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'in' AND b.term = 'the') b USING (doc_id)", "(SELECT sum(df) FROM dfs WHERE term IN ('is', 'was')) + (SELECT floor(n / 100) FROM st)"))
 def q_virtual_df(spark, sf_dir):  # noqa: ANN001, ANN201
     return _structured(spark, sf_dir, {1: "#band(#syn(is was) #1(in the))"})
 
 
 @query(
-    f"WITH {_POST}, v AS (SELECT 1 AS qid, doc_id, CAST(sum(tf) AS DOUBLE) AS score FROM post WHERE term IN ('the', 'and') GROUP BY 2 HAVING count(*) = 2) " + _ranked("SELECT * FROM v")
+    f"WITH {_POST}, v AS (SELECT CAST(1 AS BIGINT) AS qid, doc_id, CAST(sum(tf) AS DOUBLE) AS score FROM post WHERE term IN ('the', 'and') GROUP BY 2 HAVING count(*) = 2) " + _ranked("SELECT * FROM v")
 )
 def q_raw(spark, sf_dir):  # noqa: ANN001, ANN201
     return _structured(spark, sf_dir, {1: {"band": ["the", "and"]}}, model=Dot())
@@ -615,6 +667,57 @@ def seg_filter(spark, sf_dir):  # noqa: ANN001, ANN201
     return _scored(_segments(spark, sf_dir).search(dot_queries(spark, sf_dir), deleted=[None, gone, None]))
 
 
+_EDITED = """CASE WHEN doc_id % 10 = 0 THEN 'replaced text ' || CAST(doc_id AS VARCHAR) ELSE text END"""
+_NOW = _STATS.replace("FROM documents)", f"FROM (SELECT doc_id, {_EDITED} AS text FROM documents WHERE doc_id % 7 <> 3))", 1)
+# n: one more than the largest number that is left
+_NOW = _NOW.replace("(SELECT max(doc_id) + 1 FROM documents)", "(SELECT max(doc_id) + 1 FROM documents WHERE doc_id % 7 <> 3)")
+
+
+_NOW_SQL = f"WITH {_NOW}, {_QWORDS} " + _ranked(f"SELECT qid, post.doc_id, sum(q.weight * {_ROBERTSON} * {_TF}) AS score FROM q JOIN post ON post.term = q.term JOIN dls ON dls.doc_id = post.doc_id JOIN dfs ON dfs.term = post.term, st GROUP BY 1, 2")
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents, replacements of every tenth, deletions of every seventh (from the third on)."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.lit(1).cast("bigint").alias("version"), F.lit(False).alias("deleted"))
+    edits = docs.where("doc_id % 10 = 0").withColumn("text", F.concat(F.lit("replaced text "), F.col("doc_id").cast("string"))).withColumn("version", F.lit(2).cast("bigint"))
+    return docs, edits, docs.where("doc_id % 7 = 3").withColumn("deleted", F.lit(True)).withColumn("version", F.lit(3).cast("bigint"))
+
+
+def _maintained(spark: SparkSession, batches: tuple[DataFrame, ...]) -> Incremental:
+    kept = Incremental(spark, f"{_folder(spark)}/segments-{time.monotonic_ns()}", Analyzer("pisa"))
+    for number, batch in enumerate(batches):
+        kept.write_segment(batch, number)
+    return kept
+
+
+@query(_NOW_SQL)
+def seg_upsert(spark, sf_dir):  # noqa: ANN001, ANN201
+    kept = _maintained(spark, _changes(spark, sf_dir))
+    return _scored(kept.search(kept.analyzer.query_terms(text_queries(spark, sf_dir)), 10, BM25()))
+
+
+@query(f"SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(CASE WHEN doc_id % 10 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version, CAST(CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS INTEGER) AS segment FROM documents WHERE doc_id % 7 <> 3")
+def seg_delete(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The latest version of each document that isn't deleted, and the segment that holds it."""
+    return _maintained(spark, _changes(spark, sf_dir)).current().select("doc_id", "version", "segment")
+
+
+@query(_NOW_SQL)
+def seg_merge(spark, sf_dir):  # noqa: ANN001, ANN201
+    """After all segments were rewritten as one nothing changes."""
+    kept = _maintained(spark, _changes(spark, sf_dir))
+    kept.merge()
+    return _scored(kept.search(kept.analyzer.query_terms(text_queries(spark, sf_dir)), 10, BM25()))
+
+
+@query(_bm25())
+def seg_buffer_search(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Half of the documents in a segment, the others not flushed yet."""
+    docs = _changes(spark, sf_dir)[0]
+    kept = _maintained(spark, (docs.where("doc_id % 2 = 0"),))
+    return _scored(kept.search_with_buffer(kept.analyzer.query_terms(text_queries(spark, sf_dir)), docs.where("doc_id % 2 = 1").select("doc_id", "text"), 10, BM25()))
+
+
 # -------------------------------------------------------------------------------------------------- document store
 
 
@@ -724,6 +827,11 @@ def ev_overlap(spark, sf_dir):  # noqa: ANN001, ANN201
 # ------------------------------------------------------------------------------------------------------- numbering
 
 
-@query("SELECT item_id, CAST(row_number() OVER (ORDER BY text, item_id) - 1 AS BIGINT) AS place FROM benchmark")
+@query(SQL["src_vocab"])
 def build_vocab_ids(spark, sf_dir):  # noqa: ANN001, ANN201
+    return text_index(spark, sf_dir).vocabulary()
+
+
+@query("SELECT item_id, CAST(row_number() OVER (ORDER BY text, item_id) - 1 AS BIGINT) AS place FROM benchmark")
+def numbering(spark, sf_dir):  # noqa: ANN001, ANN201
     return numbered(read(spark, sf_dir, "benchmark"), ["text", "item_id"], "place").select("item_id", "place")

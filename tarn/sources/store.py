@@ -10,6 +10,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn import schema
+from tarn.operators.approx import BlockMaxIndex, PrunedIndex
 from tarn.operators.docstore import DocStore
 from tarn.operators.index import BuildOptions, Index
 from tarn.plans.analyzer import Analyzer
@@ -88,11 +89,16 @@ def save(index: Index, path: str, partitions: int | None = None) -> Index:
     return load(spark, path)
 
 
-def load(spark: SparkSession, path: str) -> Index | DocStore:
+def load(spark: SparkSession, path: str) -> Index | DocStore | BlockMaxIndex | PrunedIndex:
     """Opens whatever the manifest says is there."""
     told = manifest(spark, path)
     if told["kind"] == "docstore":
         return DocStore(spark.read.schema(schema.DOCSTORE).parquet(f"{path}/documents"))
+    if told["kind"] in ("block-max", "pruned"):
+        tables = {n: spark.read.parquet(f"{path}/{n}") for n in told["features"]}
+        if told["kind"] == "block-max":
+            return BlockMaxIndex(**tables, block_size=told["block_size"], n_docs=told["n_docs"])
+        return PrunedIndex(**({"neighbours": None} | tables), n_docs=told["n_docs"])
     if told["kind"] != "index":
         raise ManifestError(f"unknown kind '{told['kind']}' in '{path}'")
     postings = spark.read.parquet(f"{path}/postings")
@@ -107,6 +113,21 @@ def save_docstore(store: DocStore, path: str) -> DocStore:
     return load(spark, path)
 
 
+def save_variant(built: BlockMaxIndex | PrunedIndex, path: str) -> BlockMaxIndex | PrunedIndex:
+    """Writes a block-max or a pruned index, each table in ranges of its key, and opens it."""
+    kind = "block-max" if isinstance(built, BlockMaxIndex) else "pruned"
+    tables = {"block-max": ("forward", "block_max", "kth"), "pruned": ("lists", "summaries", "forward", "neighbours")}[kind]
+    spark = built.forward.sparkSession
+    for name in tables:
+        df = getattr(built, name)
+        if df is not None:
+            by = [c for c in ("term", "block", "doc_id") if c in df.columns]
+            df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+    present = [n for n in tables if getattr(built, n) is not None]
+    _describe(spark, path, kind, present, {"n_docs": built.n_docs, "block_size": getattr(built, "block_size", None)})
+    return load(spark, path)
+
+
 def keeper(path: str) -> Callable[[DataFrame], DataFrame]:
     """For operators.index.from_text: writes each table below the path and reads it back, so that texts are analysed once."""
     names = iter(("postings", "docs", *(f"table{i}" for i in range(100))))

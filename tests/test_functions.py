@@ -70,6 +70,20 @@ def test_light_stemmers_merge_forms():
         stemmers.stemmer("nope")
 
 
+@pytest.mark.parametrize(
+    ("language", "forms"),
+    [
+        ("arabic", ("الكتاب", "كتاب")), ("persian", ("کتاب‌های", "کتاب")), ("hindi", ("लड़कियों", "लड़की")), ("bengali", ("বইগুলো", "বই")), ("telugu", ("పుస్తకాలు", "పుస్తకా")),
+        ("indonesian", ("membacakan", "baca")), ("russian", ("книгами", "книгам")), ("finnish", ("talossa", "talosta")), ("italian", ("bambine", "bambina")), ("portuguese", ("canções", "cançao")),
+        ("dutch", ("katten", "katte")), ("swedish", ("bilarna", "bilen")),
+    ],
+)
+def test_forms_share_a_stem(language, forms):
+    stem = stemmers.STEMMERS[language]
+    assert stem(forms[0]) == stem(forms[1])
+    assert stem("") == ""
+
+
 def test_stop_words():
     assert len(stopwords.stop_words("en")) == 33
     assert set(stopwords.stop_words("en")) < set(stopwords.stop_words("en", "terrier"))

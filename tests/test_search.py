@@ -160,6 +160,19 @@ def test_quantiser(impacts):
     assert report["params"].nbits == 4 and transforms.quantizer(index.postings, 8, reference=report["params"]).nbits == 4
 
 
+def test_compose_and_guards(spark, impacts):
+    index, _, _ = impacts
+    halves = lambda df: df.where("value >= 2")
+    assert transforms.int_packed(index.postings, sink=halves).count() == index.postings.withColumn("value", F.round("value")).where("value >= 2").count()
+    positional = from_text(spark.createDataFrame([(0, "a b")], "doc_id bigint, text string"), Analyzer("pisa"), BuildOptions(positions=True, dtype="int32"))
+    with pytest.raises(ValueError, match="lossless"):
+        transforms.compress(positional, 8)
+    with pytest.raises(ValueError, match="codec"):
+        transforms.compress(index, 0, codec="x")
+    same, report = transforms.compress(index, 0, codec="pfor")
+    assert report["clamped"] == 0 and same.postings.count() == index.postings.count()
+
+
 def test_reorder(spark):
     r = random.Random(1)
     rows = [(d, sorted({f"{d % 4}-{r.randrange(12)}" for _ in range(8)} | {f"n{r.randrange(50)}"})) for d in range(400)]
@@ -185,6 +198,16 @@ def test_approximate_is_exact_when_nothing_is_pruned(impacts):
     assert bmp.super_blocks(4).count() > 0
 
 
+def test_variants_are_stored(impacts, tmp_path):
+    from tarn.sources import store
+
+    index, _, queries = impacts
+    table = from_map(index, queries)
+    for i, built in enumerate((approx.BlockMaxIndex.build(index, 8), approx.PrunedIndex.build(index), approx.PrunedIndex.build(index, knn=2))):
+        opened = store.save_variant(built, f"file://{tmp_path}/v{i}")
+        assert as_map(opened.search(table, 5)) == as_map(built.search(table, 5))
+
+
 def test_segments(impacts):
     index, rows, queries = impacts
     part = lambda i: from_impacts(index.spark.createDataFrame([r for r in rows if r[0] % 3 == i], "doc_id bigint, terms array<string>, values array<double>"), BuildOptions(dtype="float64"))

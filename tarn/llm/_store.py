@@ -47,17 +47,18 @@ def written(df: DataFrame) -> DataFrame:
         else:
             spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes what written() wrote for df; df can't be read any more."""
-    spark = df.sparkSession
-    for f in df.inputFiles()[:1]:
-        path = os.path.dirname(f)
-        if "/tarn-" in path:
-            _delete(spark, path)
-            _written[:] = [x for x in _written if os.path.basename(x[1]) != os.path.basename(path)]
+    found = spark.read.schema(df.schema).parquet(path)
+    found._tarn_path = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what written() wrote for tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_tarn_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+            _written[:] = [x for x in _written if x[1] != path]
 
 
 def _delete(spark: SparkSession, path: str) -> None:

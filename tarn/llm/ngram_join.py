@@ -104,9 +104,10 @@ def components(edges: DataFrame) -> DataFrame:
         spread = _store.written(labels.join(near, labels["node"] == near["a"]).select("node", F.least("first", "near").alias("first"), F.col("first").alias("before")))
         jump = spread.select(F.col("node").alias("to"), F.col("first").alias("jump"))
         jumped = _store.written(spread.join(jump, spread["first"] == jump["to"], "left").select("node", F.least("first", F.coalesce("jump", "first")).alias("first"), "before"))
-        changed = jumped.where("first < before").limit(1).count()
-        labels = jumped.select("node", "first")
-        if not changed:
+        _store.forget(labels, spread)
+        labels = jumped
+        if not jumped.where("first < before").limit(1).count():
+            _store.forget(both)
             return labels
 
 
@@ -193,17 +194,18 @@ def join(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD, tr
     met = nodes.join(subtrees, ["tree", "label"]).where("rep > leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     work = components(met)
     # Blocks of each work group; one block is verified with itself, more also with each other.
-    member = _store.written(work.join(classes.select("rep", "members", "size"), work["node"] == F.col("rep")).select("rep", F.col("first").alias("work"), "members", "size"))
+    member = _store.written(work.join(classes.select("rep", "members", "size"), work["node"] == F.col("rep")).select("rep", work["first"].alias("work"), "members", "size"))
     groups = _store.written(member.groupBy("work").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks")))
     placed = member.join(groups, "work").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     placed = placed.select("rep", "work", "members", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.select("rep", "work", "members", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     cells = placed.join(rows.withColumnRenamed("doc_id", "rep"), "rep").repartition("work", "low", "high").sortWithinPartitions("work", "low", "high", "rep")
     links = _store.written(cells.select("rep", "work", "members", "block", "low", "high", "text").mapInArrow(_verify(width, threshold), "rep bigint, links bigint, first bigint"))
-    joined = _store.written(components(links.where("first < rep").select(F.col("rep").alias("a"), F.col("first").alias("b"))))
+    joined = components(links.where("first < rep").select(F.col("rep").alias("a"), F.col("first").alias("b")))
     counted = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    ends = classes.select("whole", "rep", "members").join(counted, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    ends = classes.select("whole", "rep", "members").join(counted, "rep", "left").join(joined.select(F.col("node").alias("rep"), "first"), "rep", "left")
     ends = _store.written(ends.select("whole", F.col("rep").alias("copy_id"), F.coalesce("first", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links")))
+    _store.forget(classes, subtrees, work, member, groups, links, joined)
     return signed.select("doc_id", "whole").join(ends, "whole").select("doc_id", "copy_id", "class_id", "n_links")
 
 

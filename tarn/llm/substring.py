@@ -140,7 +140,9 @@ def removals(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     first = _store.written(windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first"))
     later = windows.join(first, "window").where("doc_id > first").groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("starts"))
     found = later.select("doc_id", "starts", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
-    return _store.written(found)
+    found = _store.written(found)
+    _store.forget(halves, firsts, copies, shared, windows, first)
+    return found
 
 
 def dedup(docs: DataFrame, width: int = WINDOW, texts_too: bool = True) -> DataFrame:

@@ -12,14 +12,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The token classes.
-PISA_PATTERN = r"(?:[a-zA-Z]+\.){2,}|[a-zA-Z0-9]+'[a-zA-Z]+|[a-zA-Z0-9]+"
+#: Abbreviations with dots, else words that may go on after an apostrophe. Possessive: no word is scanned twice.
+PISA_PATTERN = r"[a-zA-Z]++\.[a-zA-Z]++\.(?:[a-zA-Z]++\.)*+|[a-zA-Z0-9]++(?:'[a-zA-Z]++)?+"
 _IDEOGRAPH = r"\p{IsHan}\p{IsHiragana}"
 _KATAKANA = r"\p{IsKatakana}ー"
 _SOUTH_EAST = r"\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_RUN = rf"(?:[a-zA-Z0-9_]++|[\p{{L}}\p{{N}}\p{{M}}&&[^{_IDEOGRAPH}{_KATAKANA}{_SOUTH_EAST}]]++)++"
 STANDARD_PATTERN = (
-    rf"[{_IDEOGRAPH}]\p{{M}}*|[{_KATAKANA}]+|[{_SOUTH_EAST}]+"
-    rf"|(?:[\p{{L}}\p{{N}}_&&[^{_IDEOGRAPH}{_KATAKANA}{_SOUTH_EAST}]]\p{{M}}*"
-    r"(?:(?<=\p{L}\p{M}{0,3})['’‘.·:](?=\p{L})|(?<=\p{N})[.,;'’](?=\p{N}))?)+"
+    rf"(?!_++(?![\p{{L}}\p{{N}}])){_RUN}(?:(?:(?<=[\p{{L}}\p{{M}}])['’‘.·:](?=\p{{L}})|(?<=\p{{N}})[.,;'’](?=\p{{N}})){_RUN})*+"
+    rf"|[{_IDEOGRAPH}]\p{{M}}*+|[{_KATAKANA}]++|[{_SOUTH_EAST}]++"
 )
 JAVA_WHITE = r"[\t-\r\x1C-\x20  -  -    　]+"
 CJK_RUN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}ー]"
@@ -37,7 +38,7 @@ def pisa(text: Column) -> Column:
 
 def standard(text: Column) -> Column:
     """Unicode words, lower-cased; ideographs stand alone."""
-    return F.transform(F.filter(_all(text, STANDARD_PATTERN), lambda x: x.rlike(r"[\p{L}\p{N}]")), F.lower)
+    return F.transform(_all(text, STANDARD_PATTERN), F.lower)
 
 
 def lucene_english(text: Column) -> Column:

@@ -71,8 +71,10 @@ class Analyzer:
         if not self.position_gaps and not late:
             array = F.filter(array, F.isnotnull)
         rows = docs.select(F.col(key).cast("bigint").alias(key), array.alias("words"))
-        size = F.size(F.filter("words", F.isnotnull)).cast("int")
-        rows = rows.select(key, *([] if late or not lengths else [size.alias("dl")]), F.posexplode("words").alias("pos", "word")).where("word is not null")
+        own = []
+        if lengths and not late:  # taken below the explode: once for each text
+            rows, own = rows.withColumn("dl", F.size(F.filter("words", F.isnotnull)).cast("int")), ["dl"]
+        rows = rows.select(key, *own, F.posexplode("words").alias("pos", "word")).where("word is not null")
         if stemmed:
             rows = rows.join(stems(rows.select("word").distinct(), self.stemmer, self.language), "word").select(key, "pos", F.col("stem").alias("term")).where("term <> ''")
         else:
@@ -114,7 +116,8 @@ def stems(words: DataFrame, name: str, language: str) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"word": b["word"], "stem": [f(w) for w in b["word"]]})
 
-    return words.select("word").mapInPandas(run, "word string, stem string")
+    # A few hundred thousand words look too small to Spark for more than a task; stemming them is worth all cores.
+    return words.select("word").repartition(words.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "word string, stem string")
 
 
 #: Presets: what each pipeline means.

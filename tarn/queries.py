@@ -32,9 +32,14 @@ STOPS = ("the", "of", "and", "a", "to", "in")
 
 
 def _folder(spark: SparkSession) -> str:
-    """A place for indexes: the cluster's shared folder, where it names one."""
+    """A place for indexes: the cluster's shared folder, where it names one; else a temporary or the home folder."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{where.rstrip('/')}/indexes" if where else "file://" + tempfile.mkdtemp(prefix="tarn-index-")
+    if where:
+        return f"{where.rstrip('/')}/indexes"
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return "file://" + tempfile.mkdtemp(prefix="tarn-index-")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    return f"{jvm.org.apache.hadoop.fs.FileSystem.get(conf).getHomeDirectory().toString()}/.tarn/indexes"
 
 
 def _once(spark: SparkSession, key: tuple, build: Callable[[], Index]) -> Index:

@@ -14,6 +14,7 @@ Offsets count code points, ends are exclusive.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -55,19 +56,42 @@ def _null_safe(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f, or a lambda in it, refers to it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+#: Matches whose positions are summed at once.
+_STEP = 256
+
+
 def _found(text: Column, pattern: str) -> Column:
-    """Matches with their starts and ends: the pieces between matches give the positions."""
+    """Matches with their starts and ends: the pieces between matches give the positions.
+
+    Positions are running sums, taken in steps of _STEP matches, so that the arrays that grow stay short.
+    """
     long = lambda c: c.cast("bigint")
     matches, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     kind = "array<struct<start:bigint,end:bigint,value:string>>"
+    none = F.array().cast(kind)
 
-    def step(acc: Column, x: Column) -> Column:
+    def one(acc: Column, x: Column) -> Column:
         start = acc["at"] + long(F.length(x["piece"]))
         end = start + long(F.length(x["match"]))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("value")))).alias("out"))
 
-    zipped = F.zip_with(matches, F.slice(pieces, F.lit(1), F.size(matches)), lambda m, p: F.struct(m.alias("match"), p.alias("piece")))
-    return F.aggregate(zipped, F.struct(long(F.lit(0)).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+    def step(acc: Column, part: Column) -> Column:
+        begin = F.struct(F.element_at(acc, -1)["at"].alias("at"), none.alias("out"))
+        return F.concat(acc, F.array(F.aggregate(part, begin, one)))
+
+    def assembled(zipped: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / _STEP).cast("int")), lambda i: F.slice(zipped, i * _STEP + 1, _STEP))
+        first = F.array(F.struct(long(F.lit(0)).alias("at"), none.alias("out")))
+        return F.aggregate(parts, first, step, lambda acc: F.flatten(F.transform(acc, lambda x: x["out"])))
+
+    # One piece more than matches: its match is null, and it ends the text.
+    zipped = F.zip_with(matches, pieces, lambda m, p: F.struct(m.alias("match"), p.alias("piece")))
+    return F.filter(_bound(zipped, assembled), lambda x: x["value"].isNotNull())
 
 
 def _none() -> Column:
@@ -270,8 +294,9 @@ def _chosen(kind: str, text: Column, candidates: Column, booster: Booster, limit
     return F.filter(featured, lambda x: booster.column(x["f"]) > limit)
 
 
-def _apart(spans: Column):  # noqa: ANN202
-    return lambda x: ~F.exists(spans, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+def _joined_by(more: Column) -> Callable[[Column], Column]:
+    """Spans and those of `more` that overlap none of them."""
+    return lambda spans: F.concat(spans, F.filter(more, lambda x: ~F.exists(spans, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))))
 
 
 def with_spans(docs: DataFrame, prefix: str = "_pii") -> DataFrame:
@@ -286,7 +311,7 @@ def with_spans(docs: DataFrame, prefix: str = "_pii") -> DataFrame:
     out = out.withColumn(f"{prefix}_base", F.array_sort(F.concat(*(F.col(f"{prefix}_{k}") for k in BASE_KINDS))))
     spans = F.col(f"{prefix}_base")
     for k in ADDED_KINDS:  # an added span gives way to base spans and to kinds listed before
-        spans = F.concat(spans, F.filter(F.col(f"{prefix}_{k}"), _apart(spans)))
+        spans = _bound(spans, _joined_by(F.col(f"{prefix}_{k}")))
     out = out.withColumn(prefix, F.array_sort(spans))
     return out.drop(*(f"{prefix}_{k}" for k in ADDED_KINDS))
 

@@ -48,7 +48,7 @@ def check(spark, texts):
 HARD = [
     None, "", "a@b.c", "x a@b.c_d@e.f y", "a@b@c.d", "a@b.c@d.e.", "@a.b", "a@-.-", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1 255.255.255.255 007.0.0.1", "1..2.3.4.5", "99999999999999999999.1.1.1", "0000000255.1.1.1",
     "4111 1111 1111 1111", "4111-1111-1111-1111 x 4111  1111", "4111111111111112", "+1 (017) 555-7713 and +12", "+1+22 333 444 5555 6", "++1 234 567 8901", "é😀a@b.c é 1.2.3.4😀+1 (017) 555-7713", "1" * 3000, "a" * 50_000 + "@", "a." * 3000 + "@b.c",
-    "1.2.3.4" * 50, " ".join("u%d@h.example" % i for i in range(300)),
+    "1.2.3.4" * 50, " ".join("u%d@h.example" % i for i in range(3000)), "a 12 " * 2048, "12 a " * 255 + "12", "12 a " * 256,
 ]
 
 

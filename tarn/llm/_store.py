@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -22,10 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a temporary folder and any other one of the cluster's default file system.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tarn-")
+        if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            where = "file://" + tempfile.mkdtemp(prefix="tarn-")
+        else:
+            jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+            where = f"{jvm.org.apache.hadoop.fs.FileSystem.get(conf).getHomeDirectory().toString()}/.tarn"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 

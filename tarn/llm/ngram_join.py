@@ -28,7 +28,7 @@ from tarn.llm import _store, _text
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET = 20, 8, 0.9995
-#: Documents and bytes of text in a block of a split work group.
+#: Documents and bytes of text in a block of a split work group (a block holds at least one document, of any length).
 BLOCK_DOCS, BLOCK_BYTES = 128, 1 << 20
 
 _SETS = "doc_id bigint, whole bigint, labels array<bigint>, size bigint"
@@ -195,7 +195,7 @@ def join(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD, tr
     work = components(met)
     # Blocks of each work group; one block is verified with itself, more also with each other.
     member = _store.written(work.join(classes.select("rep", "members", "size"), work["node"] == F.col("rep")).select("rep", work["first"].alias("work"), "members", "size"))
-    groups = _store.written(member.groupBy("work").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks")))
+    groups = _store.written(member.groupBy("work").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.least(F.ceil(F.sum("size") / BLOCK_BYTES), F.count("*")), F.lit(1)).cast("int").alias("blocks")))
     placed = member.join(groups, "work").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     placed = placed.select("rep", "work", "members", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.select("rep", "work", "members", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import _store, _text
@@ -171,25 +171,39 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int =
     """Per document: doc_id, n_words, spans of matched words [first, last) and the items with a matching window.
 
     Documents without a doc_id are left out. A benchmark of more than block_words words is looked up in blocks of
-    items, whose spans are merged.
+    items, whose results are merged row by row: rows are numbered and written before the first block.
     """
     spark = docs.sparkSession
     _store.ship(spark)
+    blocks = _blocks(benchmark, block_words)
+    if len(blocks) == 1:
+        return _rows(docs).mapInArrow(_indexed_lookup(_phrases(blocks[0], width), slop), _MATCHES)
+    rows = _store.written(_rows(docs).withColumn("row", F.monotonically_increasing_id()))
+    union = None
+    for own in blocks:
+        part = rows.select("row", "text").mapInArrow(_indexed_lookup(_phrases(own, width), slop), _MATCHES).withColumnRenamed("doc_id", "row")
+        union = part if union is None else union.unionByName(part)
+    ends = lambda name: F.array_sort(F.flatten(F.collect_list(F.col("spans")[name]))).alias(name)
+    merged = union.groupBy("row").agg(F.max("n_words").alias("n_words"), ends("first"), ends("last"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return merged.join(rows.select("row", "doc_id"), "row").select("doc_id", "n_words", _runs(F.col("first"), F.col("last")).alias("spans"), "items")
+
+
+def _blocks(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null")
     words = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"] / 2
     blocks = max(1, int(np.ceil(words / block_words)))
-    parts = []
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
-        phrases = _Phrases([(r["item_id"], r["text"]) for r in own.collect()], width)
-        parts.append(_rows(docs).mapInArrow(_indexed_lookup(phrases, slop), _MATCHES))
-    if blocks == 1:
-        return parts[0]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    merged = union.groupBy("doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.select("doc_id", "n_words", "spans", "items")
+    return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [items]
+
+
+def _phrases(items: DataFrame, width: int) -> _Phrases:
+    return _Phrases([(r["item_id"], r["text"]) for r in items.collect()], width)
+
+
+def _runs(first: Column, last: Column) -> Column:
+    """Spans that touch or overlap as one, from their sorted starts and their sorted ends: a run ends where as many spans have ended as have begun."""
+    begins = F.filter(first, lambda x, i: (i == 0) | (F.get(last, i - 1) < x))
+    ends = F.filter(last, lambda x, i: (i == F.size(last) - 1) | (x < F.get(first, i + 1)))
+    return F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
 
 
 def covered(spans: str | F.Column) -> F.Column:

@@ -72,3 +72,13 @@ def test_index_table(spark):
     import numpy as np
 
     assert sum(int(np.frombuffer(s["counts"], np.int64).sum()) for s in shards) == 3
+
+
+def test_blocks_report_each_row(spark):
+    docs = [(2, "a b c d e f"), (2, "a b c d e f"), (2, "x x x x e f"), (3, "x x x"), (3, "a b x"), (3, "x x x"), (4, None), (5, "c d a b e f a b c d")]
+    items = [(i, t) for i, t in enumerate(["a b", "c d", "e f", "b c d", "one two three", "d e"])]
+    listed = lambda df: sorted((r["doc_id"], r["n_words"], [tuple(s) for s in r["spans"]], r["items"]) for r in df.collect())
+    find = lambda n: listed(decontam.find(documents(spark, docs), bench(spark, items), block_words=n))
+    whole = find(decontam.BLOCK_WORDS)
+    assert sorted((i, n, sum(b - a for a, b in s), len(x)) for i, n, s, x in whole) == sorted((i, n, h, x) for i, n, h, x, _, _ in brute(docs, items))
+    assert find(3) == find(8) == whole

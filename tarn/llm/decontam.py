@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,6 +158,20 @@ def _indexed_lookup(phrases: _Phrases, slop: int):
     return lambda batches: look(index(batches))
 
 
+def _without_hits(look):
+    """Batches of documents without the rows that look() finds an item in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(batch.schema.get_field_index("text")).cast(pa.string())
+            hit = np.zeros(len(text), bool)
+            for found in look(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(len(text))), text], names=["doc_id", "text"])])):
+                hit[found.column("doc_id").to_numpy()] = pc.list_value_length(found.column("items")).to_numpy() > 0
+            yield batch.filter(pa.array(~hit))
+
+    return run
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
@@ -220,7 +235,14 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int
     return hit.select("doc_id", "n_words", covered("spans").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(ids, 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """docs without the documents that hold a window of the benchmark."""
-    bad = find(docs, benchmark, width).where(F.size("items") > 0).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs without the rows that hold a window of the benchmark; all columns are kept.
+
+    Each row is judged on its own text, also where its doc_id is null or repeated. Blocks of a larger benchmark
+    filter one after the other.
+    """
+    _store.ship(docs.sparkSession)
+    out = docs
+    for own in _blocks(benchmark, block_words):
+        out = out.mapInArrow(_without_hits(_indexed_lookup(_phrases(own, width), 0)), docs.schema)
+    return out

@@ -4,7 +4,7 @@ import re
 
 from tarn.llm import decontam
 
-from .helpers import documents
+from .helpers import documents, rows
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -82,3 +82,14 @@ def test_blocks_report_each_row(spark):
     whole = find(decontam.BLOCK_WORDS)
     assert sorted((i, n, sum(b - a for a, b in s), len(x)) for i, n, s, x in whole) == sorted((i, n, h, x) for i, n, h, x, _, _ in brute(docs, items))
     assert find(3) == find(8) == whole
+
+
+def test_dropping_judges_each_row(spark):
+    docs = [(None, "x a b c d"), (None, "clean"), (1, "a b c d"), (1, "clean too"), (2, None), (3, "f g h i"), (3, "a b c"), (None, None)]
+    items = [(1, "a b c d"), (2, "f g h i"), (3, "one two three four")]
+    df, kept = documents(spark, docs), [(None, "clean"), (1, "clean too"), (2, None), (3, "a b c"), (None, None)]
+    for n in (decontam.BLOCK_WORDS, 3):
+        out = decontam.drop_contaminated(df, bench(spark, items), 4, block_words=n)
+        assert out.schema == df.schema and rows(out, "doc_id", "text") == sorted(kept, key=repr)
+    assert decontam.drop_contaminated(documents(spark, []), bench(spark, items), 4).collect() == []
+    assert decontam.drop_contaminated(df, bench(spark, []), 4).count() == len(docs)

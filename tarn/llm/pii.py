@@ -37,7 +37,7 @@ _ADDED = {
     "national_id": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Fa-f:])",
-    "secret": r"(?<![0-9A-Za-z_+/=-])[0-9A-Za-z_+/-]{20,200}(?![0-9A-Za-z_+/-])",
+    "secret": r"(?<![0-9A-Za-z_+/=-])[0-9A-Za-z_+/-]{20,}+(?:\.[0-9A-Za-z_+/-]{20,}+)*+",
 }
 _CUE = {
     "local_phone": r"(?i)(?:tel|phone|call|mobile|cell|fax|dial|whatsapp|telefon|móvil)[^0-9\n]{0,12}$",
@@ -184,6 +184,14 @@ def _examples(seed: int = 5, each: int = 240) -> tuple[np.ndarray, np.ndarray]:
         word = "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), pick(20, 26, 34)))
         rows += [_row("secret", hexes, cue), _row("secret", mixed, cue), _row("secret", word, False), _row("secret", number(24), False), _row("secret", word.upper(), False)]
         labels += [cue, cue, 0, 0, 0]
+    for _ in range(each):  # long ones: keys, dotted tokens, and runs that are neither
+        cue, n = bool(r.random() < 0.5), int(pick(100, 201, 400, 1500, 5000))
+        mixed = "".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-+/"), n))
+        hexes = "".join(r.choice(list("0123456789abcdef"), n))
+        dotted = f"{mixed[:36]}.{mixed[36:]}.{hexes[:43]}"
+        word = "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+        rows += [_row("secret", mixed, cue), _row("secret", hexes, cue), _row("secret", dotted, cue), _row("secret", word, False), _row("secret", number(n), False)]
+        labels += [cue, cue, cue, 0, 0]
     return np.array(rows, float), np.array(labels, float)
 
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -97,3 +99,14 @@ def test_iban_check(spark, value):
 
     got = spark.range(1).select(pii._checked_column("iban", F.lit(value)).alias("x")).first()["x"]
     assert got == pii._checked("iban", value)
+
+
+def test_secrets_of_any_length(spark):
+    r = random.Random(3)
+    key = lambda n: "".join(r.choices(string.ascii_letters + string.digits + "_-", k=n))
+    keys = [key(n) for n in (40, 150, 200, 201, 1000, 60_000)] + [f"{key(36)}.{key(n)}.{key(43)}" for n in (60, 300, 2000)]
+    texts = [f'token = "{k}" x' for k in keys] + ["the run " + key(300) + " y", "a" * 50_000, ".".join(["b" * 20] * 20_000)]
+    got = [x["spans"] for x in pii.report(documents(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert got == [f"secret:9:{9 + len(k)}" for k in keys] + [""] * 3
+    redacted = [x["text"] for x in pii.redact(documents(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert redacted == ['token = "[SECRET]" x'] * len(keys) + texts[len(keys) :]

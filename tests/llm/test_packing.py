@@ -23,6 +23,20 @@ def test_ids_are_the_tokenizers():
         assert encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+LONG = {"spaces": " " * 1_000_000, "feeds": "\n" * 1_000_000, "letter": "a" * 1_000_000, "signs": "." * 1_000_000, "mixed": " \t\n\u00a0" * 250_000 + "x", "digits": "7" * 300_000}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_runs_keep_their_ids(name):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing._encoder("byte_bpe_50k")
+    for text in (LONG[name], "word" + LONG[name] + "word<|endoftext|>"):
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    for n in (packing._LONG_RUN - 1, packing._LONG_RUN, packing._LONG_RUN + 1):  # both sides of the switch
+        text = "a" + LONG[name][:n] + "b"
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def check(spark, docs, capacity, **options):
     rows = [r.asDict() for r in packing.pack(documents(spark, docs), capacity=capacity, **options).collect()]
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -48,7 +62,7 @@ def check(spark, docs, capacity, **options):
 
 def test_round_trip(spark):
     r = random.Random(2)
-    docs = list(enumerate(TEXTS)) + [(None, "no number"), (1, "")] + [(100 + i, "word " * r.randint(0, 90)) for i in range(300)]
+    docs = list(enumerate(TEXTS)) + [(None, "no number"), (1, ""), (50, " " * 1_000_000)] + [(100 + i, "word " * r.randint(0, 90)) for i in range(300)]
     used, least = check(spark, docs, 64)
     assert used <= 1.03 * least + 1
     used, least = check(spark, docs, 64, pieces_per_task=60)  # several tasks and a second round

@@ -37,3 +37,15 @@ def test_defined_cases(spark):
     assert twice == [(0, 1, 1, 64 * 128), (0, 1, 1, 64 * 128)]
     # shorter vectors are zero beyond their length; large values need more than 32 bits
     assert run(spark, [(0, [1.0, 1.0]), (1, [1.0]), (2, [3e6, 3e6])]) == [(0, 1, 2, 2 * 64 * 64 * 3_000_000), (0, 2, 1, 64 * 64)]
+
+
+def test_large_components_are_exact(spark):
+    # on both sides of what 32 bits, 64 bits and a long can hold
+    for size in (2.0**24, 3.0e7, 2.0**30, 3.0e9, 2.0**31):
+        rows = [(0, [size, 1.0]), (1, [size, 0.5]), (2, [-size, size]), (3, [0.0, size + 1]), (20, [1.0, 1.0])]
+        want = [(q, r, i, max(-(2**63), min(2**63 - 1, s))) for q, r, i, s in brute(rows)]
+        assert run(spark, rows) == want
+    rows = [(0, [1e30, 1.0])] + [(i, [1e30 * i, 0.0]) for i in range(1, 40)] + [(50 + i, [-1e30 * i, 1.0]) for i in range(1, 40)]
+    got = run(spark, rows, k=5)
+    assert [(r, i) for q, r, i, s in got if q == 0] == [(1, 39), (2, 38), (3, 37), (4, 36), (5, 35)]
+    assert all(s == 2**63 - 1 for q, _, _, s in got if q == 0)

@@ -12,6 +12,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ROOT = Path(__file__).resolve().parents[2]
@@ -60,6 +61,14 @@ def written(df: DataFrame) -> DataFrame:
     return found
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, written with a number for each row, and the name of that column: rows are told apart whatever they hold."""
+    name = "row"
+    while name in df.columns:
+        name += "_"
+    return written(df.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes what written() wrote for tables that nothing reads any more."""
     for df in tables:

@@ -118,6 +118,19 @@ def hash_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray, fold: np.n
     return mix(out)
 
 
+def word_codes(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The row of every word, its number in a dictionary, and the dictionary: equal numbers are equal words, byte for byte."""
+    first, last, row = spans(data, bounds, is_word)
+    raw = data[is_word[data]]
+    if fold is not None:
+        raw = fold[raw]
+    ends = np.zeros(len(first) + 1, np.int64)
+    np.cumsum(last - first, out=ends[1:])
+    kind, offsets = (pa.binary(), ends.astype(np.int32)) if ends[-1] < 1 << 31 else (pa.large_binary(), ends)
+    coded = pa.Array.from_buffers(kind, len(first), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+    return row, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+
 def hash_words(words: list[str], fold: np.ndarray | None = None) -> np.ndarray:
     """The same hashes for words on the driver."""
     raw = [w.encode() for w in words]

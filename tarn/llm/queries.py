@@ -93,17 +93,17 @@ FROM d LEFT JOIN kept ON kept.r = d.r
 """
 
 OP8_SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, array_to_string(w[s : s + least(5, len(w)) - 1], ' ') AS gram
-      FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS s FROM d WHERE len(w) > 0)),
-n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b, c = na.n AND c = nb.n AS same FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE c >= 0.8 * (na.n + nb.n - c) - 1e-9),
-r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.b FROM r JOIN l ON l.a = r.y),
-k AS (SELECT x, min(y) AS class_id FROM r GROUP BY x),
-e AS (SELECT a, count(*) AS n_links, min(CASE WHEN same THEN b END) AS copy FROM l GROUP BY a)
-SELECT d.doc_id, least(d.doc_id, coalesce(e.copy, d.doc_id)) AS copy_id, k.class_id, CAST(coalesce(e.n_links, 0) AS BIGINT) AS n_links
-FROM d JOIN k ON k.x = d.doc_id LEFT JOIN e ON e.a = d.doc_id
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT r, array_to_string(w[s : s + least(5, len(w)) - 1], ' ') AS gram
+      FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - 3))) AS s FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.r <> b.r GROUP BY 1, 2),
+l AS (SELECT a, b, c = na.n AND c = nb.n AS same FROM p JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE c >= 0.8 * (na.n + nb.n - c) - 1e-9),
+t(x, y) AS (SELECT r, r FROM d UNION SELECT t.x, l.b FROM t JOIN l ON l.a = t.y),
+k AS (SELECT x, min(doc_id) AS class_id FROM t JOIN d ON d.r = t.y GROUP BY x),
+e AS (SELECT a, count(*) AS n_links, min(CASE WHEN same THEN d.doc_id END) AS copy FROM l JOIN d ON d.r = l.b GROUP BY a)
+SELECT d.doc_id, least(d.doc_id, e.copy) AS copy_id, k.class_id, CAST(coalesce(e.n_links, 0) AS BIGINT) AS n_links
+FROM d JOIN k ON k.x = d.r LEFT JOIN e ON e.a = d.r
 """
 
 #: For conversations without tool calls, as the tables have them; calls are tested on small fixtures.

@@ -12,21 +12,22 @@ def brute(docs, width):
         w = (t or "").encode().split()
         for p in range(len(w) - width + 1):
             k = tuple(w[p : p + width])
-            first[k] = min(first.get(k, i), i)
+            if i is not None:
+                first[k] = min(first.get(k, i), i)
     out = []
     for i, t in docs:
         w = (t or "").encode().split()
         gone = set()
         for p in range(len(w) - width + 1):
-            if first[tuple(w[p : p + width])] < i:
+            if i is not None and first[tuple(w[p : p + width])] < i:
                 gone |= set(range(p, p + width))
         kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
         out.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
-    return sorted(out)
+    return sorted(out, key=repr)
 
 
 def run(spark, docs, width):
-    return sorted(tuple(r) for r in substring.report(documents(spark, docs).repartition(3), width).collect())
+    return sorted((tuple(r) for r in substring.report(documents(spark, docs).repartition(3), width).collect()), key=repr)
 
 
 def test_against_brute_force(spark):
@@ -36,7 +37,7 @@ def test_against_brute_force(spark):
     for i in range(80):
         docs.append((i, "  ".join(r.choice([*passages, " ".join(r.choice("xyzé") for _ in range(r.randint(1, 20)))]) for _ in range(r.randint(0, 5)))))
     docs += [(100 + k, docs[k][1]) for k in range(0, 40, 4)]  # copies
-    for width in (10, 7):
+    for width in (10, 7, 2, 1):
         assert run(spark, docs, width) == brute(docs, width)
 
 
@@ -47,4 +48,17 @@ def test_defined_cases(spark):
     assert run(spark, [], 50) == []
     got = {r["doc_id"]: r for r in substring.dedup(documents(spark, [(2, line), (6, "head " + line + " tail")]), 50).collect()}
     assert got[6]["kept"] == "head tail" and [tuple(s) for s in got[6]["spans"]] == [(1, 61)] and got[2]["spans"] == []
-    assert len(substring.dedup(documents(spark, [(None, line), (1, "a")]), 50).collect()) == 1
+
+
+def test_rows_are_judged_apart(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    docs = [(1, a), (2, a), (2, b), (None, a), (None, b), (3, b + " end"), (4, "x " + b), (4, None)]
+    assert run(spark, docs, 50) == brute(docs, 50)
+    assert run(spark, [(1, a), (2, b), (None, a)], 50) == brute([(1, a), (2, b), (None, a)], 50)  # nothing survives
+
+
+def test_levels_double():
+    assert substring.lengths(50) == [13, 25, 50] and substring.lengths(2) == [1, 2] and substring.lengths(1) == [1]
+    for width in range(1, 70):
+        own = substring.lengths(width)
+        assert own[-1] == width and all(b <= 2 * a for a, b in zip(own, own[1:]))

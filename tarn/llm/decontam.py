@@ -1,20 +1,24 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is sharded by document: each shard of the training texts stores, for every term of the benchmark's
-vocabulary, the ascending positions at which it occurs (terms outside that vocabulary can't take part in a match
-and store no posting). A phrase is looked up from its rarest term in the shard: the positions of that term, less
-its offset in the phrase, are the candidates, which are intersected with the offset-adjusted lists of the other
-terms from the rarest to the commonest. With slop > 0 each term may be up to slop words away from its place
-(proximity); slop 0 is the exact phrase.
+The index of the training texts is a table, sharded by document and stored once: each shard has a dictionary of its
+words, and for every word the ascending positions of all its occurrences. A first pass over the dictionaries counts how
+often the benchmark's terms occur in all shards together. Each window of the benchmark is then looked up from its
+rarest term to its commonest: the positions of the rarest, less its offset in the window, are the candidates, which
+are intersected with the offset-adjusted posting lists of the other terms. With slop 0 that is the exact phrase; with
+slop > 0 each term may be up to slop words away from its place (proximity).
+
+Words are compared as words, byte for byte. The benchmark is read in blocks of bounded size: one block at a time is on
+the driver and broadcast, and its matches are written before the next; every block reads the one stored index.
 
 Defined cases: a null or empty text has no words, and is returned with zeros; benchmark rows with a null item_id
-or without words match nothing; rows that share an item_id count as one item; repeated documents are reported
-each for itself; other columns are ignored; with an empty benchmark nothing is hit; an empty table gives an empty
-result. A document or item may be of any length.
+or without words match nothing; rows that share an item_id count as one item; each row of the documents is judged and
+returned for itself, also where its doc_id is null or repeated; other columns are ignored; with an empty benchmark
+nothing is hit; an empty table gives an empty result. A document or item may be of any length.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +30,13 @@ from pyspark.sql import functions as F
 from tarn.llm import _store, _text
 
 WINDOW = 10
-#: Words of the benchmark that are sent to the workers at once; a larger benchmark is handled in blocks of items.
+#: How far a term of a proximity match may be from its place.
+NEAR = 2
+#: Words of the benchmark that are sent to the workers at once, at most.
 BLOCK_WORDS = 2_000_000
 
-_INDEX = "doc_ids binary, n_words binary, starts binary, terms binary, counts binary, positions binary"
-_MATCHES = "doc_id bigint, n_words bigint, spans array<struct<first:bigint,last:bigint>>, items array<bigint>"
+_INDEX = "rows array<bigint>, doc_ids array<bigint>, sizes binary, words binary, word_ends binary, counts binary, positions binary"
+_MATCHES = "row bigint, doc_id bigint, n_words bigint, spans array<struct<first:bigint,last:bigint>>, items array<bigint>, near array<bigint>"
 
 
 class _Phrases:
@@ -38,67 +44,75 @@ class _Phrases:
 
     def __init__(self, items: list[tuple[int, str]], width: int):
         rows = pa.array([t for _, t in items], pa.large_string())
-        ids, doc, hashes = np.array([i for i, _ in items], np.int64), [], []
-        for at, _, data, bounds in _text.chunks(rows):
-            first, last, row = _text.spans(data, bounds, _text.ALNUM)
-            hashes.append(_text.hash_spans(data, first, last, _text.FOLD_ASCII))
-            doc.append(row + at)
-        words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        doc = np.concatenate(doc) if doc else np.zeros(0, np.int64)
-        self.vocabulary, term = np.unique(words, return_inverse=True)
-        self.width = width
+        ids, self.width = np.array([i for i, _ in items], np.int64), width
+        _, _, data, bounds = next(_text.chunks(rows, 1 << 62), (0, 0, np.zeros(0, np.uint8), np.zeros(1, np.int64)))
+        doc, term, words = _text.word_codes(data, bounds, _text.ALNUM, _text.FOLD_ASCII)
+        self.vocabulary = words.cast(pa.large_binary())
         size = np.bincount(doc, minlength=len(items)) if len(items) else np.zeros(0, np.int64)
         begin = np.cumsum(size) - size
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for length in sorted({min(width, int(s)) for s in size if s}):
             own = np.flatnonzero(size >= width if length == width else size == length)
             starts = np.concatenate([begin[i] + np.arange(size[i] - length + 1) for i in own])
-            grams = term[starts[:, None] + np.arange(length)].astype(np.int32)
-            item = np.repeat(ids[own], size[own] - length + 1)
-            both = np.unique(np.column_stack([grams.astype(np.int64), item]), axis=0)
-            self.by_length[length] = both[:, :-1].astype(np.int32), both[:, -1]
-
-
-def _indexer(vocabulary: np.ndarray, gap: int):
+            grams = term[starts[:, None] + np.arange(length)].astype(np.int64)
+            both = np.unique(np.column_stack([grams, np.repeat(ids[own], size[own] - length + 1)]), axis=0)
+            self.by_length[length] = both[:, :-1].astype(np.int32), both[:, -1], np.zeros(0, np.int8)
+
+    def ordered(self, frequency: np.ndarray) -> _Phrases:
+        """With the terms of each window from the rarest to the commonest; windows with a term that occurs nowhere go."""
+        for length, (grams, item, _) in list(self.by_length.items()):
+            some = frequency[grams].min(axis=1) > 0
+            self.by_length[length] = grams[some], item[some], np.argsort(frequency[grams[some]], axis=1, kind="stable")
+        return self
+
+
+def _indexer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in _INDEX.split(", ")]
+    for batch in batches:
+        for at, to, data, bounds in _text.chunks(batch.column(2)):
+            doc, word, words = _text.word_codes(data, bounds, _text.ALNUM, _text.FOLD_ASCII)
+            word = word.astype(np.uint16) if len(words) <= 1 << 16 else word
+            counts = np.bincount(word, minlength=len(words)).astype(np.int32)
+            lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+            blobs = [np.bincount(doc, minlength=to - at).astype(np.int64), b"".join(words.to_pylist()), np.cumsum(lengths), counts, np.argsort(word, kind="stable").astype(np.int32 if len(word) < 1 << 31 else np.int64)]
+            listed = [pa.ListArray.from_arrays(pa.array([0, to - at], pa.int32()), batch.column(k).slice(at, to - at)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*listed, *(pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in blobs)], names=names)
+
+
+def _terms(shard: dict, vocabulary: pa.Array) -> np.ndarray:
+    """The term number of each word of a shard's dictionary, -1 for those that no benchmark text has."""
+    ends = np.frombuffer(shard["word_ends"], np.int64)
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(shard["words"])])
+    return pc.fill_null(pc.index_in(words, value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _frequencies(sent):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = sent.value.vocabulary
+        total = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for at, to, data, bounds in _text.chunks(batch.column(1)):
-                first, last, doc = _text.spans(data, bounds, _text.ALNUM)
-                words = _text.hash_spans(data, first, last, _text.FOLD_ASCII)
-                size = np.bincount(doc, minlength=to - at)
-                starts = np.cumsum(size + gap) - size  # a gap before each document keeps phrases from crossing
-                position = np.arange(len(words)) + (doc + 1) * gap
-                term = np.searchsorted(vocabulary, words)
-                term[term == len(vocabulary)] = 0
-                known = vocabulary[term] == words if len(vocabulary) else np.zeros(len(words), bool)
-                term, position = term[known].astype(np.int32), position[known]
-                order = np.argsort(term, kind="stable")
-                terms, counts = np.unique(term, return_counts=True)
-                row = [ids[at:to], size.astype(np.int64), starts, terms, counts.astype(np.int64), position[order].astype(np.int32 if bounds[-1] < 1 << 29 else np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=[x.split()[0] for x in _INDEX.split(", ")])
+            for shard in batch.to_pylist():
+                term, counts = _terms(shard, vocabulary), np.frombuffer(shard["counts"], np.int32)
+                total[term[term >= 0]] += counts[term >= 0]
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], names=["term", "n"])
 
     return run
 
 
-def _lookup(phrases: _Phrases, slop: int, rest: int = 1 << 21):
-    n_terms = len(phrases.vocabulary)
+def _lookup(sent, slops: tuple[int, ...], rest: int = 1 << 21):  # noqa: ANN001, ANN202
+    """Matches of each row of the shards: spans and items of the first slop, items of the second one if there is one."""
 
-    def found(token: np.ndarray, want: np.ndarray, at: np.ndarray) -> np.ndarray:
-        hit = token[at] == want
-        for d in range(1, slop + 1):
-            hit |= (token[at - d] == want) | (token[at + d] == want)
-        return hit
-
-    def matches(terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, token: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-        df, begin = np.zeros(n_terms, np.int64), np.zeros(n_terms, np.int64)
-        df[terms], begin[terms] = counts, np.cumsum(counts) - counts
-        for length, (grams, item) in phrases.by_length.items():
-            rows = np.flatnonzero(df[grams].min(axis=1) > 0)
+    def matches(phrases: _Phrases, slop: int, counts: np.ndarray, keys: np.ndarray, span: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
+        begin = np.cumsum(counts) - counts
+        for length, (grams, item, order) in phrases.by_length.items():
+            rows = np.flatnonzero(counts[grams].min(axis=1) > 0) if len(grams) else []
             if not len(rows):
                 continue
-            rarest = np.argsort(df[grams[rows]], axis=1, kind="stable")
-            lists = df[grams[rows, rarest[:, 0]]]
+            rarest = order[rows, 0]
+            seeds = grams[rows, rarest]
+            lists = counts[seeds]
             cuts = np.searchsorted(np.cumsum(lists), np.arange(rest, int(lists.sum()) + rest, rest), "left") + 1
             for lo, hi in zip([0, *cuts[:-1]], cuts, strict=True):
                 lo, hi = int(lo), min(int(hi), len(rows))
@@ -106,112 +120,148 @@ def _lookup(phrases: _Phrases, slop: int, rest: int = 1 << 21):
                     continue
                 of = np.repeat(np.arange(lo, hi), lists[lo:hi])
                 within = np.arange(len(of)) - np.repeat(np.cumsum(lists[lo:hi]) - lists[lo:hi], lists[lo:hi])
-                at = positions[begin[grams[rows[of], rarest[of, 0]]] + within] - rarest[of, 0]
-                for k in range(1, length):
-                    place = rarest[of, k]
-                    keep = found(token, grams[rows[of], place], at + place)
-                    of, at = of[keep], at[keep]
-                    if not len(of):
-                        break
-                if len(of):
-                    yield at, length, item[rows[of]]
+                seed = keys[begin[seeds[of]] + within] - seeds[of] * span
+                for shift in range(-slop, slop + 1):
+                    own, place = of, seed - rarest[of] + shift
+                    where = seed
+                    for k in range(1, length):
+                        offset = order[rows[own], k]
+                        want = grams[rows[own], offset].astype(np.int64) * span + place + offset
+                        found = np.searchsorted(keys, want - slop)
+                        keep = keys[np.minimum(found, len(keys) - 1)] <= want + slop
+                        keep &= found < len(keys)
+                        own, place, where = own[keep], place[keep], where[keep]
+                        if not len(own):
+                            break
+                    if len(own):
+                        yield place, where, length, item[rows[own]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = sent.value
+        gap = phrases.width + 2 * max(slops) + 1  # between texts, so that no match crosses from one to the next
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, size, starts = (np.frombuffer(row[k], np.int64) for k in ("doc_ids", "n_words", "starts"))
-                terms, counts = np.frombuffer(row["terms"], np.int32), np.frombuffer(row["counts"], np.int64)
-                n = int(counts.sum())
-                positions = np.frombuffer(row["positions"], np.int32 if n and len(row["positions"]) // n == 4 else np.int64).astype(np.int64)
-                end = int(starts[-1] + size[-1]) + 2 * (phrases.width + slop) + 1
-                token = np.full(end, -1, np.int32)
-                token[positions] = np.repeat(terms, counts)
-                edge, pairs = np.zeros(end + 1, np.int32), []
-                for at, length, item in matches(terms, counts, positions, token):
-                    at = np.maximum(at, 0)
-                    doc = np.searchsorted(starts, at + length // 2 * bool(slop), "right") - 1
-                    lo = np.maximum(at - slop, starts[doc])
-                    hi = np.minimum(at + length + slop, starts[doc] + size[doc])
-                    np.add.at(edge, lo, 1)
-                    np.add.at(edge, hi, -1)
-                    pairs.append(np.unique(np.column_stack([doc, item]), axis=0))
+            for shard in batch.to_pylist():
+                size, all_counts = np.frombuffer(shard["sizes"], np.int64), np.frombuffer(shard["counts"], np.int32).astype(np.int64)
+                total = int(all_counts.sum())
+                positions = np.frombuffer(shard["positions"], np.int32 if total and len(shard["positions"]) // total == 4 else np.int64)
+                starts = np.cumsum(size) - size
+                term = _terms(shard, phrases.vocabulary)
+                known = np.flatnonzero(term >= 0)
+                known = known[np.argsort(term[known])]
+                counts = np.zeros(len(phrases.vocabulary), np.int64)
+                counts[term[known]] = all_counts[known]
+                lists = (np.cumsum(all_counts) - all_counts)[known]
+                n = all_counts[known]
+                at = positions[np.repeat(lists - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].astype(np.int64)
+                span = total + (len(size) + 2) * gap
+                keys = np.repeat(term[known], n) * span + at + np.searchsorted(starts, at, "right") * gap
+                shifted = starts + (np.arange(len(size)) + 1) * gap
+                edge, pairs = np.zeros(total + 1, np.int32), [[] for _ in slops]
+                for which, slop in enumerate(slops):
+                    for place, where, length, item in matches(phrases, slop, counts, keys, span) if len(keys) else ():
+                        doc = np.searchsorted(shifted, where, "right") - 1
+                        pairs[which].append(np.unique(np.column_stack([doc, item]), axis=0))
+                        if which == 0:
+                            place = place - (doc + 1) * gap
+                            np.add.at(edge, np.maximum(place - slop, starts[doc]), 1)
+                            np.add.at(edge, np.minimum(place + length + slop, starts[doc] + size[doc]), -1)
                 covered = np.cumsum(edge) > 0
-                change = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
-                runs: list[list[dict]] = [[] for _ in ids]
-                for lo, hi in zip(change[::2], change[1::2], strict=True):
-                    d = int(np.searchsorted(starts, lo, "right")) - 1
-                    runs[d].append({"first": int(lo - starts[d]), "last": int(hi - starts[d])})
-                items: list[list[int]] = [[] for _ in ids]
-                for d, i in np.unique(np.concatenate(pairs), axis=0) if pairs else ():
-                    items[d].append(int(i))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(size), pa.array(runs, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(items, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_words", "spans", "items"],
-                )
-
-    return run
-
-
-def _indexed_lookup(phrases: _Phrases, slop: int):
-    """Each shard is indexed and searched in one Python worker: its postings needn't travel."""
-    index, look = _indexer(phrases.vocabulary, phrases.width + 2 * slop + 1), _lookup(phrases, slop)
-    return lambda batches: look(index(batches))
-
-
-def _without_hits(look):
-    """Batches of documents without the rows that look() finds an item in."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text")).cast(pa.string())
-            hit = np.zeros(len(text), bool)
-            for found in look(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(len(text))), text], names=["doc_id", "text"])])):
-                hit[found.column("doc_id").to_numpy()] = pc.list_value_length(found.column("items")).to_numpy() > 0
-            yield batch.filter(pa.array(~hit))
+                covered[-1:] = False
+                begins = np.concatenate([[False], covered])
+                begins[starts[size > 0]] = False  # a run ends where its text ends
+                change = np.flatnonzero(covered & ~begins[:-1])
+                runs: list[list[dict]] = [[] for _ in size]
+                if len(change):
+                    stops = np.flatnonzero(~covered | np.isin(np.arange(len(covered)), starts[size > 0]))
+                    ends = stops[np.searchsorted(stops, change, "right")]
+                    for lo, hi, d in zip(change.tolist(), ends.tolist(), (np.searchsorted(starts, change, "right") - 1).tolist(), strict=True):
+                        runs[d].append({"first": lo - int(starts[d]), "last": hi - int(starts[d])})
+                lists = []
+                for own in pairs:
+                    items: list[list[int]] = [[] for _ in size]
+                    for d, i in np.unique(np.concatenate(own), axis=0) if own else ():
+                        items[d].append(int(i))
+                    lists.append(items)
+                kinds = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.int64())
+                columns = [pa.array(shard["rows"], pa.int64()), pa.array(shard["doc_ids"], pa.int64()), pa.array(size), pa.array(runs, kinds[0]), pa.array(lists[0], kinds[1]), pa.array(lists[-1], kinds[1])]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _MATCHES.split(", ")])
 
     return run
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-
+def build_index(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """The stored index: a row for each shard, with its rows, doc_ids and lengths, its words, and count and ascending positions of every posting list.
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray, gap: int) -> DataFrame:
-    """The index as a table: one row for each shard of documents, with its documents, and term, count and ascending positions of every posting list."""
+    row: a column of numbers by which rows are told apart; without it they are numbered here.
+    """
     _store.ship(docs.sparkSession)
-    return _rows(docs).mapInArrow(_indexer(vocabulary, gap), _INDEX)
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _store.written(rows.mapInArrow(_indexer, _INDEX))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: doc_id, n_words, spans of matched words [first, last) and the items with a matching window.
-
-    Documents without a doc_id are left out. A benchmark of more than block_words words is looked up in blocks of
-    items, whose results are merged row by row: rows are numbered and written before the first block.
-    """
-    spark = docs.sparkSession
-    _store.ship(spark)
-    blocks = _blocks(benchmark, block_words)
-    if len(blocks) == 1:
-        return _rows(docs).mapInArrow(_indexed_lookup(_phrases(blocks[0], width), slop), _MATCHES)
-    rows = _store.written(_rows(docs).withColumn("row", F.monotonically_increasing_id()))
-    union = None
-    for own in blocks:
-        part = rows.select("row", "text").mapInArrow(_indexed_lookup(_phrases(own, width), slop), _MATCHES).withColumnRenamed("doc_id", "row")
-        union = part if union is None else union.unionByName(part)
+def _blocks(benchmark: DataFrame, width: int, block_words: int) -> Iterator[list[tuple[int, str]]]:
+    """Items in blocks of no more than block_words words (or twice as many characters); longer items come in pieces that share width - 1 words."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null")
+    block, size, most = [], 0, max(2 * block_words, 1)
+    for r in items.toLocalIterator():
+        parts = [r["text"]]
+        if len(parts[0]) > most:
+            places = [m.span() for m in re.finditer("[0-9A-Za-z\u0080-\U0010FFFF]+", parts[0])]
+            step = max(1, block_words - width + 1)
+            parts = [parts[0][places[i][0] : places[min(i + step + width - 1, len(places)) - 1][1]] for i in range(0, max(1, len(places) - width + 1), step)] if places else []
+        for text in parts:
+            if block and size + len(text) > most:
+                yield block
+                block, size = [], 0
+            block.append((r["item_id"], text))
+            size += len(text)
+    yield block
+
+
+def _looked_up(index: DataFrame, block: list[tuple[int, str]], width: int, slops: tuple[int, ...]):  # noqa: ANN202
+    """Matches of all rows with one block of the benchmark, and what was broadcast for them."""
+    context, phrases = index.sparkSession.sparkContext, _Phrases(block, width)
+    sent = context.broadcast(phrases)
+    counted = index.select("words", "word_ends", "counts").mapInArrow(_frequencies(sent), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    sent.destroy()
+    frequency = np.zeros(len(phrases.vocabulary), np.int64)
+    for r in counted:  # no more than the block has terms
+        frequency[r["term"]] = r["n"]
+    sent = context.broadcast(phrases.ordered(frequency))
+    return index.mapInArrow(_lookup(sent, slops), _MATCHES), sent
+
+
+def matches(index: DataFrame, benchmark: DataFrame, width: int = WINDOW, slops: tuple[int, ...] = (0,), block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Of each row of the index: row, doc_id, n_words, spans of matched words [first, last) and items with a matching window by the first slop, and `near`, items by the last slop."""
+    blocks = _blocks(benchmark, width, block_words)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return _looked_up(index, block, width, slops)[0]
+    parts = None
+    while block is not None:
+        found, sent = _looked_up(index, block, width, slops)
+        part = _store.written(found.where(F.size("items") + F.size("near") > 0))
+        sent.destroy()
+        parts = part if parts is None else parts.unionByName(part)
+        block, following = following, next(blocks, None)
     ends = lambda name: F.array_sort(F.flatten(F.collect_list(F.col("spans")[name]))).alias(name)
-    merged = union.groupBy("row").agg(F.max("n_words").alias("n_words"), ends("first"), ends("last"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.join(rows.select("row", "doc_id"), "row").select("doc_id", "n_words", _runs(F.col("first"), F.col("last")).alias("spans"), "items")
+    every = lambda name: F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name)
+    merged = parts.groupBy("row").agg(ends("first"), ends("last"), every("items"), every("near")).select("row", _runs(F.col("first"), F.col("last")).alias("spans"), "items", "near")
+    rows = index.select("rows", "doc_ids", "sizes").mapInArrow(_lengths, "row bigint, doc_id bigint, n_words bigint")
+    kinds = dict(merged.dtypes)
+    return rows.join(merged, "row", "left").select("row", "doc_id", "n_words", *(F.coalesce(c, F.array().cast(kinds[c])).alias(c) for c in ("spans", "items", "near")))
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null")
-    words = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"] / 2
-    blocks = max(1, int(np.ceil(words / block_words)))
-    return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [items]
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for shard in batch.to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(shard["rows"], pa.int64()), pa.array(shard["doc_ids"], pa.int64()), pa.array(np.frombuffer(shard["sizes"], np.int64))], names=["row", "doc_id", "n_words"])
 
 
-def _phrases(items: DataFrame, width: int) -> _Phrases:
-    return _Phrases([(r["item_id"], r["text"]) for r in items.collect()], width)
+def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Per row: doc_id, n_words, spans of matched words [first, last) and the items with a matching window."""
+    return matches(build_index(docs), benchmark, width, (slop,), block_words).select("doc_id", "n_words", "spans", "items")
 
 
 def _runs(first: Column, last: Column) -> Column:
@@ -228,21 +278,17 @@ def covered(spans: str | F.Column) -> F.Column:
     return F.aggregate(spans, start, step, lambda acc: acc["n"])
 
 
-def report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0) -> DataFrame:
-    """The digest per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    hit = find(docs, benchmark, width, slop)
+def report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, near: int = NEAR) -> DataFrame:
+    """The digest per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; n_near: items with a window whose words are all within `near` of their places."""
+    hit = matches(build_index(docs), benchmark, width, (0, near))
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return hit.select("doc_id", "n_words", covered("spans").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(ids, 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
+    digest = hit.select("doc_id", "n_words", covered("spans").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), F.size("near").cast("bigint").alias("n_near"))
+    return digest.withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs without the rows that hold a window of the benchmark; all columns are kept.
-
-    Each row is judged on its own text, also where its doc_id is null or repeated. Blocks of a larger benchmark
-    filter one after the other.
-    """
-    _store.ship(docs.sparkSession)
-    out = docs
-    for own in _blocks(benchmark, block_words):
-        out = out.mapInArrow(_without_hits(_indexed_lookup(_phrases(own, width), 0)), docs.schema)
-    return out
+    """docs without the rows that hold a window of the benchmark; all columns are kept, and each row is judged on its own text."""
+    rows, row = _store.numbered(docs)
+    index = build_index(rows, row)
+    hit = _store.written(matches(index, benchmark, width, (0,), block_words).where(F.size("items") > 0).select(F.col("row").alias(row)))
+    return rows.join(hit, row, "left_anti").select(*docs.columns)

@@ -65,23 +65,32 @@ SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20
 """
 
 OP4_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
-g AS (SELECT DISTINCT item_id, array_to_string(w[s : s + least(10, len(w)) - 1], ' ') AS gram, least(10, len(w)) AS n
-      FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS s FROM b WHERE len(w) > 0)),
+i AS (SELECT row_number() OVER () AS gid, item_id, g, len(g) AS n FROM (SELECT DISTINCT item_id, w[s : s + least(10, len(w)) - 1] AS g FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS s FROM b WHERE len(w) > 0))),
+g AS (SELECT item_id, array_to_string(g, ' ') AS gram, n FROM i),
 lens AS (SELECT DISTINCT n FROM g),
 h AS (SELECT r, x.n, s, array_to_string(w[s : s + x.n - 1], ' ') AS gram
       FROM (SELECT r, w, lens.n, unnest(range(1, len(w) - lens.n + 2)) AS s FROM d, lens WHERE len(w) >= lens.n) x),
 m AS (SELECT h.r, h.s, h.n, g.item_id FROM h JOIN g ON h.gram = g.gram AND h.n = g.n),
 hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(s, s + n)) AS p FROM m) GROUP BY r),
-it AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r)
+it AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r),
+-- windows whose words are all within 2 of their places: from places of the rarest word, then of the next, then of all
+gt AS (SELECT gid, n, unnest(g) AS term, unnest(range(0, n)) AS k FROM i),
+tok AS (SELECT r, term, p FROM (SELECT r, unnest(w) AS term, unnest(range(0, len(w))) AS p FROM d) WHERE term IN (SELECT term FROM gt)),
+o AS (SELECT gid, gt.term, k, row_number() OVER (PARTITION BY gid ORDER BY coalesce(f, 0), k) AS o FROM gt LEFT JOIN (SELECT term, count(*) AS f FROM tok GROUP BY term) df ON df.term = gt.term),
+c0 AS (SELECT gid, r, p - k - x AS at FROM o JOIN tok USING (term), (SELECT unnest(range(-2, 3)) AS x) WHERE o = 1),
+c1 AS (SELECT DISTINCT c0.gid, c0.r, c0.at FROM c0 JOIN o ON o.gid = c0.gid AND o.o = 2 JOIN tok ON tok.r = c0.r AND tok.term = o.term AND tok.p BETWEEN c0.at + o.k - 2 AND c0.at + o.k + 2
+       UNION ALL SELECT c0.* FROM c0 JOIN i USING (gid) WHERE n = 1),
+c2 AS (SELECT c1.gid, c1.r FROM c1 JOIN gt ON gt.gid = c1.gid JOIN tok ON tok.r = c1.r AND tok.term = gt.term AND tok.p BETWEEN c1.at + gt.k - 2 AND c1.at + gt.k + 2 GROUP BY 1, 2, c1.at HAVING count(DISTINCT gt.k) = max(gt.n)),
+nr AS (SELECT r, count(DISTINCT item_id) AS n_near FROM c2 JOIN i USING (gid) GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit ON hit.r = d.r LEFT JOIN it ON it.r = d.r
+       sha256(coalesce(ids, '')) AS items_sha256, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON hit.r = d.r LEFT JOIN it ON it.r = d.r LEFT JOIN nr ON nr.r = d.r
 """
 
 OP6_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 h AS (SELECT r, doc_id, s, array_to_string(w[s : s + 49], ' ') AS gram FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50)),
 f AS (SELECT gram, min(doc_id) AS first FROM h GROUP BY gram HAVING count(DISTINCT doc_id) > 1),
 gone AS (SELECT r, list(DISTINCT p) AS ps FROM (SELECT h.r, unnest(range(h.s, h.s + 50)) AS p FROM h JOIN f ON h.gram = f.gram AND h.doc_id > f.first) GROUP BY r),

@@ -99,23 +99,28 @@ def _features(evidence: list[float]) -> np.ndarray:
 
 
 def segments(place: np.ndarray, score: np.ndarray, cost: float = COST) -> list[tuple[float, int, int]]:
-    """All maximal-scoring segments (score, first word, end), by Ruzzo and Tompa's scan; words between the places cost."""
-    found: list[tuple[float, float, int, int]] = []  # cumulative score before, after, first, end
+    """All maximal-scoring segments (score, first word, end), by Ruzzo and Tompa's scan; words between the places cost.
+
+    Each candidate keeps a link to the last one before it that begins lower, which is where a search for such a one can
+    go on: no candidate is passed twice on the way, and the scan is linear.
+    """
+    found: list[tuple[float, float, int, int, int]] = []  # cumulative score before, after, first, end, link
     total, end = 0.0, 0
     for p, s in zip(place.tolist(), score.tolist(), strict=True):
         total -= cost * (p - end)
         left, right, lo, hi = total, total + s, p, p + 1
         total, end = right, p + 1
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][0] >= left:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][1] >= right:
                 break
-            left, lo = found[j][0], found[j][2]
+            left, lo, link = found[j][0], found[j][2], found[j][4]
             del found[j:]
-        found.append((left, right, lo, hi))
-    return [(b - a, lo, hi) for a, b, lo, hi in found]
+            j = link
+        found.append((left, right, lo, hi, j))
+    return [(b - a, lo, hi) for a, b, lo, hi, _ in found]
 
 
 def _scan(model: Model, column: pa.Array) -> Iterator[tuple[int, list[tuple[float, int, int]]]]:
@@ -172,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model | fl
     spark = docs.sparkSession
     _store.ship(spark)
     own = _fit.labelled(docs, labels, "toxic", most)
-    own = own.dropDuplicates(["text", "label"])  # copies are one observation
+    own = own.groupBy("text", "label").agg(F.min("doc_id").alias("doc_id"))  # copies are one observation, always of the same number
     sample = _store.written(own.select("text", "label", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(_fit.FOLDS)) == CALIBRATION).alias("later")))
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(n) < 2:

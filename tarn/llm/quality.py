@@ -3,7 +3,8 @@
 Each text becomes a short vector of transformed statistics. The covariance of each class is shrunk towards the
 pooled covariance and that towards its diagonal; Cholesky factors are computed once, when the model is fitted, and
 sent along. The score comes from the difference of the classes' log densities (Mahalanobis distances and log
-determinants) with log priors, calibrated to a probability on the fitting sample.
+determinants) with log priors. It is calibrated to a probability on differences that each half of the sample gets from
+a model of the other half.
 
 Defined cases: a null text counts as empty and gets a score like any text; repeated rows are each scored; rows
 without doc_id are scored with a null doc_id and held_out false; other columns are ignored; labels are used
@@ -78,6 +79,14 @@ def statistics(column: pa.Array) -> np.ndarray:
     return np.vstack(out) if out else np.zeros((0, len(NAMES)))
 
 
+def _forward(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution z of factor z = b for a lower triangular factor, column by column of b."""
+    z = np.empty_like(b, dtype=float)
+    for i in range(len(factor)):
+        z[i] = (b[i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
+
+
 @dataclass
 class Discriminant:
     """Means, Cholesky factors of the shrunken covariances and log priors of classes 0 and 1, and the calibration."""
@@ -96,15 +105,24 @@ class Discriminant:
             c = (1 - to_pooled) * c + to_pooled * pooled
             c = (1 - to_diagonal) * c + to_diagonal * np.diag(np.diag(c)) + 1e-4 * np.eye(len(c))
             factors.append(np.linalg.cholesky(c))
-        model = Discriminant(np.array([x[y == k].mean(axis=0) for k in (0, 1)]), factors, np.log([(y == k).mean() for k in (0, 1)]), np.zeros(0))
-        model.calibration = _fit.logistic(model.difference(x)[:, None], y, ridge=0.1)
+        return Discriminant(np.array([x[y == k].mean(axis=0) for k in (0, 1)]), factors, np.log([(y == k).mean() for k in (0, 1)]), np.array([1.0, 0.0]))
+
+    @staticmethod
+    def calibrated(x: np.ndarray, y: np.ndarray) -> Discriminant:
+        """Fitted on all rows; calibrated on rows that the model compared had not seen, where both halves have both classes."""
+        model, half = Discriminant.fit(x, y), np.arange(len(y)) % 2
+        d = model.difference(x)
+        if all(len(np.unique(y[half == k])) == 2 for k in (0, 1)):
+            for k in (0, 1):
+                d[half == k] = Discriminant.fit(x[half != k], y[half != k]).difference(x[half == k])
+        model.calibration = _fit.logistic(d[:, None], y, ridge=0.1)
         return model
 
     def difference(self, x: np.ndarray) -> np.ndarray:
         """log density of class 1 less that of class 0, tamed far from both."""
         log = []
         for mean, factor, prior in zip(self.means, self.factors, self.priors, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = _forward(factor, (x - mean).T)
             log.append(prior - np.log(np.diag(factor)).sum() - 0.5 * (z * z).sum(axis=0))
         d = log[1] - log[0]
         return np.sign(d) * np.log1p(np.abs(d))
@@ -130,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Discrimina
         return float(y.mean())
     x = np.array([r["x"] for r in rows])
     order = np.lexsort((*x.T, y))  # sums don't depend on the order in which rows came
-    return Discriminant.fit(x[order], y[order])
+    return Discriminant.calibrated(x[order], y[order])
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:

@@ -118,3 +118,78 @@ def test_passages(spark, tables):
     docs, labels, _ = tables
     rows = [r for r in toxicity.find(docs, labels).collect() if r["predicted"]]
     assert rows and all(s["first"] < s["last"] for r in rows for s in r["segments"])
+
+
+def test_scan_is_linear():
+    import time
+
+    import numpy as np
+
+    r = random.Random(5)
+
+    def seconds(n):
+        place = np.arange(n) * 40  # each hit is a segment of its own
+        score = np.array([r.uniform(0.5, 1.5) for _ in range(n)])
+        began = time.perf_counter()
+        assert len(toxicity.segments(place, score)) == n
+        return time.perf_counter() - began
+
+    small, large = min(seconds(20_000) for _ in range(3)), min(seconds(80_000) for _ in range(3))
+    assert large < 10 * small + 0.05
+
+
+def test_copies_count_once_whatever_their_order(spark, tables):
+    docs, labels, truth = tables
+    rows = corpus()[0]
+    more = [(1000 + i, rows[i % 40][1]) for i in range(400)]  # copies, many of them in other folds
+    train = spark.createDataFrame([*truth, *((1000 + i, truth[i % 40][1], truth[i % 40][2]) for i in range(400))], "doc_id bigint, quality int, toxic int")
+    a, b = (sorted((r["doc_id"], r["score"]) for r in toxicity.classify(documents(spark, order), train).collect()) for order in (rows + more, more[::-1] + rows[::-1]))
+    assert all(x[0] == y[0] and abs(x[1] - y[1]) < 1e-9 for x, y in zip(a, b, strict=True))
+
+
+def test_discriminant_against_densities():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(size=(80, 5)) @ rng.normal(size=(5, 5)), 1.5 + rng.normal(size=(50, 5))])
+    y = np.array([0.0] * 80 + [1.0] * 50)
+    model = quality.Discriminant.fit(x, y, 0.2, 0.3)
+
+    def log_density(k, row):
+        own = [np.cov(x[y == c].T, bias=True) for c in (0, 1)]
+        pooled = (80 * own[0] + 50 * own[1]) / 130
+        c = 0.8 * own[k] + 0.2 * pooled
+        c = 0.7 * c + 0.3 * np.diag(np.diag(c)) + 1e-4 * np.eye(5)
+        gap = row - x[y == k].mean(axis=0)
+        return np.log((80, 50)[k] / 130) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * gap @ np.linalg.inv(c) @ gap
+
+    d = np.array([log_density(1, row) - log_density(0, row) for row in x])
+    assert np.allclose(model.difference(x), np.sign(d) * np.log1p(np.abs(d)))
+
+
+def statistics_by_hand(text):
+    """The transformed statistics of one text, in plain Python."""
+    import math
+
+    raw = (text or "").encode()
+    words = raw.split()
+    kinds = lambda f: sum(map(f, raw))
+    upper, digits = kinds(lambda c: 65 <= c <= 90), kinds(lambda c: 48 <= c <= 57)
+    lower, white, marks = kinds(lambda c: 97 <= c <= 122 or c >= 128), kinds(lambda c: c == 32 or 9 <= c <= 13), kinds(lambda c: c in b".,;:'\"()-?")
+    is_other = lambda c: not (65 <= c <= 90 or 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 or c == 32 or 9 <= c <= 13 or c in b".,;:'\"()-?")
+    fold = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    n, share = len(words), lambda x, of, usual: math.log((x + 20 * usual) / (of + 20))
+    chars = max(len(raw) - white, 1)
+    return [
+        math.log1p(n), share(len(raw) - white, n, 5.0), share(upper, chars, 0.03), share(digits, chars, 0.002), share(marks, n, 0.2), share(kinds(is_other), n, 0.01), math.log1p(len(set(fold))) - math.log1p(n),
+        share(sum(a == b for a, b in zip(fold, fold[1:])), n, 0.01), share(raw.count(b"\n"), n, 0.02), share(sum(len(w) <= 3 for w in words), n, 0.3), share(sum(is_other(w[-1]) for w in words), n, 0.01),
+        math.log1p(len(set(zip(fold, fold[1:])))) - math.log1p(n),
+    ]
+
+
+def test_statistics_against_brute_force():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [t for _, t in corpus(60)[0]] + [None, "", " ", "a", "A a a!", "é É 12\n3 ###", "x\ty\x0bz"]
+    assert np.allclose(quality.statistics(pa.array(texts)), [statistics_by_hand(t) for t in texts])

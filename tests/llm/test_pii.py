@@ -110,3 +110,52 @@ def test_secrets_of_any_length(spark):
     assert got == [f"secret:9:{9 + len(k)}" for k in keys] + [""] * 3
     redacted = [x["text"] for x in pii.redact(documents(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
     assert redacted == ['token = "[SECRET]" x'] * len(keys) + texts[len(keys) :]
+
+
+def test_assignments_and_padding(spark):
+    r = random.Random(6)
+    key = lambda n: "".join(r.choices(string.ascii_letters + string.digits, k=n))
+    h = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    secrets = {f"token={h}": (6, 46), f"api_key = sk-{key(40)}": (10, 53), f"export ACCESS_KEY={key(40)}": (18, 58), f"password={key(42)}==": (9, 53), f"Bearer {key(36)}.{key(80)}.{key(43)}": (7, 168)}
+    plain = [f"commit {h}", f"sha256:{h}", "https://host.example/some/long/path/of/words/here", "some_long_function_name_of_words", "-" * 60, "x=aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
+    got = [x["spans"] for x in pii.report(documents(spark, list(enumerate([*secrets, *plain])))).orderBy("doc_id").collect()]
+    assert got == [f"secret:{a}:{b}" for a, b in secrets.values()] + [""] * len(plain)
+
+
+def test_overlaps_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(2)
+    rows = []
+    for i in range(300):
+        base = sorted((a, a + r.randint(1, 12)) for a in (r.randrange(60) for _ in range(r.randint(0, 5))))
+        more, at = [], 0
+        for _ in range(r.randint(0, 6)):
+            at += r.randint(0, 8)
+            more.append((at, at + r.randint(1, 5)))
+            at = more[-1][1]
+        rows.append((i, base, more))
+    kind = "array<struct<start:bigint,end:bigint>>"
+    df = spark.createDataFrame(rows, f"i int, base {kind}, more {kind}")
+    spans = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), F.lit(0).alias("rank"), x["end"].alias("end"), F.lit("k").alias("kind"), x["start"].alias("from"), x["end"].alias("to")))
+    got = df.withColumns({"a": spans("base"), "b": spans("more")}).select("i", pii._bound(F.col("a"), pii._joined_by(F.col("b"))).alias("x")).collect()
+    for g in got:
+        _, base, more = rows[g["i"]]
+        want = base + [m for m in more if not any(a < m[1] and m[0] < b for a, b in base)]
+        assert sorted((x["start"], x["end"]) for x in g["x"]) == sorted(want)
+
+
+def test_redaction_is_near_linear(spark):
+    import time
+
+    def seconds(n):
+        text = " ".join(f"u{i}@h.example é" for i in range(n))
+        df = documents(spark, [(0, text)])
+        began = time.perf_counter()
+        out = pii.redact(df, "n_chars").first()["text"]
+        took = time.perf_counter() - began
+        assert out == " ".join(["[EMAIL] é"] * n)
+        return took
+
+    seconds(100)
+    assert seconds(40_000) < 8 * seconds(10_000) + 5

@@ -172,11 +172,14 @@ def removals(rows: DataFrame, row: str, width: int = WINDOW) -> DataFrame:
             return _store.written(found)
         alive = alive.join(own, name)
     candidates = alive.groupBy("row").agg(F.collect_set(names[-1]).alias("known"))
+    candidates = _store.written(candidates)
+    _store.forget(prints, firsts, *shared)
     windows = _store.written(rows.join(candidates, "row").select("row", "doc_id", "text", "known").mapInArrow(_windows(width, shorter[-1]), "row bigint, doc_id bigint, at int, w0 bigint, w1 bigint"))
+    _store.forget(candidates)
     first = _store.written(windows.groupBy("w0", "w1").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w0", "w1", "first"))
     later = windows.join(first, ["w0", "w1"]).where("doc_id > first").groupBy("row").agg(F.array_sort(F.collect_set("at")).alias("starts"))
     found = _store.written(found.unionByName(later.select("row", "starts", F.lit(False).alias("copy"))))
-    _store.forget(prints, firsts, copies, *shared, windows, first)
+    _store.forget(copies, windows, first)
     return found
 
 

@@ -1,8 +1,9 @@
 """Main text of web pages: flat blocks, their neighbours' word counts and link densities, and a decision tree.
 
 A page is cut into text blocks at block-level tags. Each block has its word count, link density (share of words in
-links) and those of the blocks before and after it, beside what its enclosing elements say. A decision tree, trained
-here on a small table of labelled blocks, decides which blocks are the article's.
+links) and those of the blocks before and after it, beside what its enclosing elements say: their names, and words of
+their class, id and role that speak for furniture, or only may. A decision tree, trained here on a small table of
+labelled blocks, decides which blocks are the article's.
 
 Defined cases: a null or empty page has empty text; broken markup (unclosed or cut-off tags, entities and comments)
 is read as far as it goes; character references are decoded once; pages of any length are read whole; repeated rows
@@ -26,19 +27,23 @@ from tarn.llm import _store
 
 # Element names of HTML by what they do to text.
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol optgroup option p pre section select summary table tbody td template tfoot th thead title tr ul".split())
-SILENT = frozenset("script style head title noscript template iframe object svg math select textarea button audio video canvas".split())
+SILENT = frozenset("script style head title template iframe audio video canvas".split())
 RAW = frozenset("script style title textarea".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements and words of class, id and role that tell of a page's furniture and of its article.
-FURNITURE = frozenset("nav header footer aside form menu dialog".split())
+FURNITURE = frozenset("nav header footer aside form menu dialog button select textarea".split())
 FURNITURE_WORDS = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|banners?|breadcrumbs?|comments?|comment-?list|cookies?|consent|copyright|disqus|footer|foot|head|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|popup|promo|promoted|related|replies|reply|respond|share|sharing|sidebar|side|signup|skip|social|sponsor|sponsored|subscribe|tags|toolbar|widget|gdpr)(?:$|[^a-z])")
+# Of these, words that also name parts of an article: beside one of its words they are a hint and no more.
+HINT_WORDS = re.compile(r"(?:^|[^a-z])(?:head|header|notice|notices|related|reply|respond|side|skip|social|tags)(?:$|[^a-z])")
 ARTICLE_WORDS = re.compile(r"(?:^|[^a-z])(?:article|articlebody|body|content|entry|main|post|story|text)(?:$|[^a-z])")
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 _WHITE = re.compile(r"\s+")
 
-FEATURES = ["words", "density", "words_before", "density_before", "words_after", "density_after", "furniture", "named_furniture", "article", "heading"]
+FEATURES = ["words", "density", "words_before", "density_before", "words_after", "density_after", "furniture", "named_furniture", "hinted", "article", "heading"]
 
 
 @dataclass
@@ -48,6 +53,7 @@ class Block:
     linked: int
     furniture: bool
     named: bool
+    hinted: bool
     article: bool
     heading: bool
 
@@ -59,8 +65,9 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in order, without those that no reader sees."""
     found: list[Block] = []
-    stack: list[tuple[str, tuple[bool, bool, bool, bool, bool]]] = []  # name; silent, furniture, named, article, heading
-    now = (False, False, False, False, False)
+    stack: list[tuple[str, tuple[bool, ...]]] = []  # name; silent, furniture, named, hinted, article, heading
+    now = (False,) * 6
+    unclosed: set[str] = set()
     text: list[str] = []
     linked: list[str] = []
     links = 0
@@ -69,7 +76,7 @@ def blocks(page: str) -> list[Block]:
         whole = _WHITE.sub(" ", html.unescape("".join(text))).strip()
         if whole:
             in_links = _WHITE.sub(" ", html.unescape(" ".join(linked))).strip()
-            found.append(Block(whole, whole.count(" ") + 1, min(whole.count(" ") + 1, len(in_links.split())), now[1], now[2], now[3], now[4]))
+            found.append(Block(whole, whole.count(" ") + 1, min(whole.count(" ") + 1, len(in_links.split())), *now[1:]))
         text.clear()
         linked.clear()
 
@@ -124,23 +131,32 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] in BLOCK:
                     break
         stack.append((name, now))
-        article = name in ("article", "main") or bool(said and ARTICLE_WORDS.search(said))
-        furniture = name in FURNITURE and not (name == "header" and now[3])
-        named = bool(said and FURNITURE_WORDS.search(said)) and not (name in ("html", "body", "article", "main"))
-        now = (now[0] or name in SILENT or hidden, now[1] or furniture, now[2] or named, now[3] or article, now[4] or name in ("h1", "h2", "h3", "h4", "h5", "h6"))
-        if name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if name in ("script", "style"):
+        telling = bool(said and ARTICLE_WORDS.search(said))
+        article = name in ("article", "main") or telling
+        furniture = name in FURNITURE and not (name == "header" and now[4])
+        named = bool(said and FURNITURE_WORDS.search(said)) and name not in ("html", "body", "article", "main")
+        hinted = named and telling and not FURNITURE_WORDS.search(_without_hints(said))
+        now = (now[0] or name in SILENT or hidden, now[1] or furniture, now[2] or (named and not hinted), now[3] or hinted, now[4] or article, now[5] or name in HEADINGS)
+        if name in RAW and name not in unclosed:  # what it holds is no markup, if it is closed at all
+            close = _CLOSE[name].search(page, at)
+            if close is None:
+                unclosed.add(name)
+            if close or name in ("script", "style"):
                 at = close.start() if close else size
     end()
     return found
 
 
+def _without_hints(said: str) -> str:
+    """Class words without those that only hint; twice, since two of them may share the sign between them."""
+    return HINT_WORDS.sub(" ", HINT_WORDS.sub(" ", said))
+
+
 def features(found: list[Block]) -> np.ndarray:
     """A row of FEATURES for each block."""
     words = np.array([0, *(b.words for b in found), 0], float)
     density = np.array([0, *(b.density for b in found), 0], float)
-    own = np.array([[b.furniture, b.named, b.article, b.heading] for b in found], float).reshape(-1, 4)
+    own = np.array([[b.furniture, b.named, b.hinted, b.article, b.heading] for b in found], float).reshape(-1, 5)
     return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], own])
 
 
@@ -170,6 +186,26 @@ _LAYOUTS = [
     "<nav>n:40 n:[1]</nav> a:60 a:34 <aside>n:90 n:55</aside> a:47 <form>n:50</form> <footer>n:100</footer>",
     "<div id=sidebar>n:80 n:41</div> a:72 a:38 a:55 <div class=comments>n:64 n:77 n:30</div> <div class=notice>n:48</div>",
     "<header>n:35 n:1</header> <div class=post>a:2 a:1 a:61 a:1 a:17</div> <div class=cookie>n:58</div>",
+    # class words of both sorts: an article's own head, and what only looks like one
+    "<div class=post-header><h1>a:7</h1> a:4</div> <div class=post-body>a:66 a:40</div> <div class=post-footer>n:14</div>",
+    "<div class=article-header><h1>a:5</h1></div> <div class=article-text>a:58 a:2 a:71</div> <div class=article-comments>n:44 n:29</div>",
+    "<div class=main-content><p class=skip-content>a:31</p> a:48 <p class=content-tags>n:[2] n:[1]</p> a:22</div>",
+    "<div class=content-header><p>a:19</p> a:25</div> <div class=entry>a:80</div> <div class=related-content>n:[7] n:[5] n:[6]</div>",
+    "<div class=header-main>n:[2] n:[1] n:[1]</div> <div class=text>a:27 a:36</div> <div class=social-content>n:[1] n:[1]</div>",
+    "<div class=side-content>n:[3] n:[4] n:2</div> <article>a:33 <div class=notice-text>a:41 a:28</div> a:17</article>",
+    "<div class=main-head>n:[1] n:[2]</div> <main>a:14 a:95</main> <div class=reply-body>a:38 a:62</div>",
+    # lists of links that an article has, whatever stands beside them
+    "<article>a:[1] a:[2] a:30 a:[8] a:[3] a:[4] a:[2]</article> <footer>n:9</footer>",
+    "<main>a:[6] a:12 a:[1] a:[1] a:[1] a:2 a:[12] a:[5] a:1</main> <nav>n:[2] n:[1]</nav>",
+    "<article><h1>a:[4]</h1> a:[3] a:[2] a:61 a:[9] a:[14] a:1 a:[1]</article>",
+    "<nav>n:[1]</nav> <div class=content>a:[2] a:[2] a:1 a:[7] a:40 a:[3]</div>",
+    # bare pages, down to their last block
+    "a:41 a:66 a:30", "a:12 a:3", "<h1>a:4</h1> a:20 a:7", "<nav>n:[2] n:[1]</nav> a:30 a:3", "a:1 a:2 a:30 a:9", "<h1>a:2</h1> a:9", "a:25 a:80 a:1", "a:5", "a:17", "a:2",
+    # nothing but words and links of a block and its neighbours
+    "n:[1] n:[2] n:[1] a:6 a:54 a:3 a:47 a:[2] a:68 n:[3] n:[2] n:[4] n:[1]",
+    "n:2 n:[3] n:[2] a:88 a:12 a:42 n:[1] n:[1] n:6",
+    "n:[6] n:[9] n:[7] a:35 a:24 a:57 a:8 a:61 n:[8] n:[5] n:[11]",
+    "<div>n:[2] n:[2] n:[2] n:[2]</div> <div>a:9 a:21 a:45 a:33</div> <div>n:[2] n:[3]</div>",
 ]
 
 

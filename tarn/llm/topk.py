@@ -88,8 +88,10 @@ class _Best:
         weights, postings = _integers(self.weights, kind), []
         for t, column in enumerate(columns):
             places = np.flatnonzero(column)
-            if len(places):
-                postings.append((t, slice(None) if len(places) == n else places, _integers(column[places], kind)))
+            if len(places) > n // 8:  # a long list is cheaper to add with its gaps
+                postings.append((t, slice(None), _integers(column, kind)))
+            elif len(places):
+                postings.append((t, places, _integers(column[places], kind)))
         top_score = np.zeros((len(self.ids), k), object if kind is object else np.int64)
         top_id, top_valid = np.zeros((len(self.ids), k), np.int64), np.zeros((len(self.ids), k), bool)
         lo, hi = np.searchsorted(ids, self.ids, "left"), np.searchsorted(ids, self.ids, "right")

@@ -47,8 +47,29 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: The tool that op10's derived conversations call.
+NOTE_SCHEMA = [("note", "quote", "string", True), ("note", "turn", "integer", True), ("note", "tags", "array", False)]
+
+
+def with_calls(messages: DataFrame) -> DataFrame:
+    """The messages, and each conversation once more with tool calls, under the number -1 - conv_id.
+
+    There an assistant's turn is a call that quotes it, with an argument of the wrong type in every fourth turn, and
+    what others said in the turn before is its result, which stands before its call.
+    """
+    text, turn = F.coalesce("text", F.lit("")), F.col("turn").cast("bigint")
+    quote = F.substring(text, 1, 20).alias("quote")
+    call = lambda given: F.to_json(F.struct(text.alias("content"), F.array(F.struct(F.concat(F.lit("c"), turn.cast("string")).alias("id"), F.lit("note").alias("name"), given.alias("arguments"))).alias("tool_calls")))
+    asked = F.when(turn % 4 == 3, call(F.to_json(F.struct(quote, turn.cast("string").alias("turn"))))).otherwise(call(F.to_json(F.struct(quote, turn.alias("turn")))))
+    result = F.to_json(F.struct(F.concat(F.lit("c"), (turn + 1).cast("string")).alias("tool_call_id"), text.alias("content")))
+    asks = F.col("role") == "assistant"
+    derived = messages.select((-1 - F.col("conv_id")).alias("conv_id"), "turn", F.when(asks, "assistant").otherwise("tool").alias("role"), F.when(asks, asked).otherwise(result).alias("text"))
+    return messages.select("conv_id", "turn", "role", "text").unionByName(derived.where("conv_id is not null and turn is not null"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = chat.link(table(spark, sf_dir, "conversations"))
+    messages = with_calls(table(spark, sf_dir, "conversations"))
+    linked = chat.link(messages, spark.createDataFrame(NOTE_SCHEMA, chat.SCHEMA))
     return linked.withColumn("errors", F.array_join("errors", "; "))
 
 
@@ -115,11 +136,26 @@ SELECT d.doc_id, least(d.doc_id, e.copy) AS copy_id, k.class_id, CAST(coalesce(e
 FROM d JOIN k ON k.x = d.r LEFT JOIN e ON e.a = d.r
 """
 
-#: For conversations without tool calls, as the tables have them; calls are tested on small fixtures.
 OP10_SQL = r"""
-SELECT conv_id, turn, coalesce(role, 'user') AS role, turn AS at_turn, CAST(0 AS INTEGER) AS at_step, CAST(0 AS INTEGER) AS n_calls, CAST(NULL AS VARCHAR) AS call_id,
-       'plain' AS status, '' AS errors, '{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"role":' || CAST(to_json(coalesce(role, 'user')) AS VARCHAR) || '}' AS json
-FROM conversations
+WITH m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, text FROM m),
+q AS (SELECT * FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+a AS (SELECT r, -1 - conv_id AS conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY r) = 1 AS first FROM q WHERE role = 'assistant'),
+t AS (SELECT r, -1 - conv_id AS conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY r) = 1 AS first FROM q WHERE role IS NULL OR role <> 'assistant')
+SELECT conv_id, turn, role, turn AS at_turn, CAST(0 AS INTEGER) AS at_step, CAST(0 AS INTEGER) AS n_calls, CAST(NULL AS VARCHAR) AS call_id,
+       'plain' AS status, '' AS errors, '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' AS json
+FROM p
+UNION ALL
+SELECT a.conv_id, a.turn, 'assistant', a.turn, CAST(0 AS INTEGER), CAST(1 AS INTEGER), CAST(NULL AS VARCHAR),
+       CASE WHEN a.turn % 4 = 3 THEN 'invalid' WHEN a.first AND t.r IS NOT NULL THEN 'calls' ELSE 'unanswered' END, CASE WHEN a.turn % 4 = 3 THEN 'turn is no integer' ELSE '' END,
+       '{"content":' || CAST(to_json(a.text) AS VARCHAR) || ',"role":"assistant","tool_calls":[{"arguments":{"quote":' || CAST(to_json(substring(a.text, 1, 20)) AS VARCHAR) || ',"turn":'
+       || CASE WHEN a.turn % 4 = 3 THEN '"' || a.turn || '"' ELSE CAST(a.turn AS VARCHAR) END || '},"id":"c' || a.turn || '","name":"note"}]}'
+FROM a LEFT JOIN t ON t.conv_id = a.conv_id AND t.turn = a.turn - 1 AND t.first
+UNION ALL
+SELECT t.conv_id, t.turn, 'tool', coalesce(a.turn, t.turn), CAST(CASE WHEN a.r IS NULL THEN 0 ELSE 1 END AS INTEGER), CAST(0 AS INTEGER), 'c' || (t.turn + 1),
+       CASE WHEN a.r IS NULL THEN 'orphan' WHEN t.first THEN 'linked' ELSE 'duplicate' END, '',
+       '{"content":' || CAST(to_json(t.text) AS VARCHAR) || ',"role":"tool","tool_call_id":"c' || (t.turn + 1) || '"}'
+FROM t LEFT JOIN a ON a.conv_id = t.conv_id AND a.turn = t.turn + 1 AND a.first
 """
 
 ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_decontamination": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op8_ngram_join": OP8_SQL, "op10_chat": OP10_SQL}

@@ -50,6 +50,13 @@ def test_types(spark):
     assert linked(spark, bad, [("t", "i", "integer", True)])[0][8] == ["arguments are no object"]
 
 
+def test_repeated_results_and_calls(spark):
+    one = (5, 2, "tool", J({"tool_call_id": "k", "content": "same"}))
+    rows = [(5, 1, "assistant", J({"tool_calls": [{"id": "k", "name": "w"}]})), (5, 3, "assistant", J({"tool_calls": [{"id": "k", "name": "w"}]})), one, one, one]
+    got = linked(spark, rows)
+    assert sorted(r[7] for r in got) == ["calls", "duplicate", "duplicate", "linked", "unanswered"]
+
+
 def test_defined_cases(spark):
     rows = [(None, None, None, None), (2, None, "user", ""), (1, 0, "user", "x" * 300_000), (1, 0, "user", "x" * 300_000), (None, 1, "assistant", J({"tool_calls": [{"name": "q", "arguments": "nope"}]})), (3, 1, "assistant", J({"tool_calls": [{"id": "d"}, {"id": "d"}]})), (3, 2, "tool", J({"tool_call_id": "d", "content": "1"}))]
     got = linked(spark, rows)

@@ -6,9 +6,11 @@ else: the one shuffle of a search is the sum by query and document.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ class BuildOptions:
 
 @dataclass
 class Index:
-    """postings (term, doc_id, value, dl, positions) and docs (doc_id, dl; dense, gaps have length 0)."""
+    """postings (term, doc_id, value, dl, positions) and docs (doc_id, dl) of the documents there are; see dense() for gaps."""
 
     postings: DataFrame
     docs: DataFrame
@@ -59,10 +61,10 @@ class Index:
         return self._terms
 
     def stats(self) -> Stats:
-        """n (largest document number + 1), average and least length: one row on the driver."""
+        """n (largest document number + 1), average and least length, numbers without a document being empty ones: one row on the driver."""
         if self._stats is None:
-            row = self.docs.agg(F.coalesce(F.max("doc_id") + 1, F.lit(0)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), F.coalesce(F.min("dl"), F.lit(0)).alias("min_dl")).first()
-            self._stats = Stats(row["n"], row["total"] / row["n"] if row["n"] else 0.0, row["min_dl"])
+            row = self.docs.agg(F.coalesce(F.max("doc_id") + 1, F.lit(0)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), F.coalesce(F.min("dl"), F.lit(0)).alias("min_dl"), F.count("*").alias("docs")).first()
+            self._stats = Stats(row["n"], row["total"] / row["n"] if row["n"] else 0.0, row["min_dl"] if row["docs"] == row["n"] else 0)
         return self._stats
 
     def with_scoring(self, model: Model) -> Index:
@@ -145,15 +147,47 @@ def from_text(docs: DataFrame, analyzer: Analyzer, options: BuildOptions | None
     options = options or BuildOptions(dtype="int32")
     keep = store or (lambda df: df.persist(StorageLevel.MEMORY_AND_DISK))
     docs = docs.where(F.col(key).isNotNull())
-    tokens = analyzer.tokens(docs, key, text, lengths=True).withColumnRenamed(key, "doc_id")
-    positions = F.array_sort(F.collect_list(F.col("pos").cast("int"))) if options.positions else None
-    # The length rides along with every token, so one shuffle, by document and term, builds the postings.
-    found = tokens.groupBy("doc_id", "term").agg(F.count("*").alias("value"), F.max("dl").alias("dl"), *([positions.alias("positions")] if options.positions else []))
-    postings = found.select("term", "doc_id", _stored(F.col("value"), options).alias("value"), "dl", *(["positions"] if options.positions else [F.lit(None).cast("array<int>").alias("positions")]))
-    postings = keep(postings)  # counted from tokens, so there is nothing to check
-    ids = docs.select(F.col(key).cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
-    lengths = ids.join(postings.groupBy("doc_id").agg(F.max("dl").alias("dl")), "doc_id", "left")
-    return Index(postings, keep(dense(lengths)), analyzer, options)
+    ids = docs.select(F.col(key).cast("bigint").alias("doc_id")).where("doc_id is not null")
+    postings = counted(analyzer.arrays(docs, key, text), options.positions)
+    once = ids.distinct()
+    if ids.count() != once.count():  # texts that share a number are one document
+        places = F.array_sort(F.flatten(F.collect_list("positions"))) if options.positions else F.lit(None).cast("array<int>")
+        postings = postings.groupBy("term", "doc_id").agg(F.sum("value").cast("int").alias("value"), F.max("dl").alias("dl"), places.alias("positions"))
+    postings = keep(postings.withColumn("value", _stored(F.col("value"), options)))  # counted from tokens, so there is nothing to check
+    return Index(postings, keep(lengths_of(once, postings)), analyzer, options)
+
+
+def counted(rows: DataFrame, positions: bool) -> DataFrame:
+    """Postings of arrays of terms (a number and the array), counted where each array is: nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                sizes = part.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                flat = part.column(1).flatten()
+                text = np.repeat(np.arange(len(sizes)), sizes)
+                place = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                some = np.asarray(flat.is_valid())
+                coded = flat.drop_null().dictionary_encode()
+                text, place, code = text[some], place[some], coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                key = text * max(1, len(coded.dictionary)) + code
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
+                ends = np.concatenate([first, [len(key)]]).astype(np.int32)
+                of = order[first]
+                lengths = np.bincount(text, minlength=len(sizes)).astype(np.int32)
+                places = pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order].astype(np.int32))) if positions else pa.nulls(len(first), pa.list_(pa.int32()))
+                columns = [coded.dictionary.take(pa.array(code[of])), part.column(0).take(pa.array(text[of])), pa.array(np.diff(ends).astype(np.int32)), pa.array(lengths[text[of]]), places]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", "doc_id", "value", "dl", "positions"])
+
+    return rows.mapInArrow(run, "term string, doc_id bigint, value int, dl int, positions array<int>")
+
+
+def lengths_of(ids: DataFrame, postings: DataFrame) -> DataFrame:
+    """doc_id, dl of documents; those without a posting have length 0."""
+    known = postings.groupBy("doc_id").agg(F.max("dl").alias("dl"))
+    return ids.join(known, "doc_id", "left").select("doc_id", F.coalesce(F.col("dl").cast("int"), F.lit(0)).alias("dl"))
 
 
 def from_tokens(docs: DataFrame, options: BuildOptions | None = None) -> Index:
@@ -192,4 +226,4 @@ def _finish(rows: DataFrame, docs: DataFrame, options: BuildOptions) -> Index:
     postings = columns.select("term", "doc_id", _stored(F.col("value"), options).alias("value"), total.cast("int").alias("dl"), F.col("positions") if options.positions else F.lit(None).cast("array<int>").alias("positions"))
     postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
-    return Index(postings, dense(ids.join(postings.groupBy("doc_id").agg(F.max("dl").alias("dl")), "doc_id", "left")).persist(StorageLevel.MEMORY_AND_DISK), None, options)
+    return Index(postings, lengths_of(ids, postings).persist(StorageLevel.MEMORY_AND_DISK), None, options)

@@ -1,15 +1,21 @@
-"""Exact top-k retrieval of a table of queries, in one plan.
+"""Exact top-k retrieval of a table of queries (qid, term, weight).
 
-queries (qid, term, weight) join the postings of their terms, scores are summed by query and document, and a ranked
-window keeps the best k of each query (Spark limits each partition's groups before the shuffle). Documents are
-filtered below the sum. Ties go to the smaller doc_id; only scores above zero count.
+A batch of bounded size is collected and broadcast. The postings of its terms, each read once whatever the number of
+queries that share it, are dealt by blocks of documents; a block's postings are added term by term to dense scores of
+the queries, and only the best k of each query leave a block. With `prune`, queries are skipped in blocks whose summed
+upper bounds stay below the k-th score they have reached. Larger batches join the postings instead, and scores are
+summed by query and document; both ways give the same rows.
+
+Documents are filtered before anything is scored. Ties go to the smaller doc_id; only scores above zero count.
 """
 
 from __future__ import annotations
 
 import asyncio
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,13 +77,122 @@ def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("doc_id",)) -> DataFra
     return scored.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", *(c for c in scored.columns if c not in ("qid", "rank")))
 
 
-def search(index: Index, queries: DataFrame, k: int = 10, model: Model | None = None, deleted: DocSet = None, allowed: DocSet = None) -> DataFrame:
-    """qid, rank, doc_id, score."""
-    return top(scores(index, queries, model, doc_set(index, deleted), doc_set(index, allowed)), k)
+#: Rows (query, term) of a batch that are collected and broadcast, at most.
+BATCH = 200_000
+#: Terms whose names are pushed into the scan of the postings.
+PUSHED = 1000
+#: Documents of a block, and cells of the dense scores that are held at once.
+BLOCK_DOCS, CELLS = 4096, 1 << 22
 
 
-#: Both of the exact strategies a user may name give this plan's results.
-search_maxscore = search_wand = search_many = search
+def search(index: Index, queries: DataFrame, k: int = 10, model: Model | None = None, deleted: DocSet = None, allowed: DocSet = None, prune: bool = False, width: int = BLOCK_DOCS) -> DataFrame:
+    """qid, rank, doc_id, score."""
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    model, deleted, allowed = model or index.model, doc_set(index, deleted), doc_set(index, allowed)
+    batch = weighted(index, queries, model).limit(BATCH + 1).collect()
+    if len(batch) > BATCH:
+        return top(scores(index, queries, model, deleted, allowed), k)
+    spark = index.spark
+    qids, terms = sorted({r["qid"] for r in batch}), sorted({r["term"] for r in batch})
+    number, place = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(qids)}
+    entries = sorted((number[r["term"]], place[r["qid"]], r["factor"]) for r in batch)
+    lists = np.searchsorted([e[0] for e in entries], np.arange(len(terms) + 1))
+    sent = spark.sparkContext.broadcast((lists, np.array([e[1] for e in entries], np.int64), np.array([e[2] for e in entries], float), len(qids)))
+    named = F.broadcast(spark.createDataFrame(list(enumerate(terms)), "_t int, term string"))  # no more than the batch has
+    rows = filtered(of_terms(index.postings.select("term", "doc_id", "value", "dl"), terms), deleted, allowed).join(named, "term")
+    rows = rows.select(F.floor(F.col("doc_id") / width).alias("_block"), "_t", "doc_id", model.posting_factor(F.col("value"), F.col("dl"), index.stats()).alias("_part"))
+    dealt = rows.repartition("_block").sortWithinPartitions("_block", "_t", "doc_id")
+    found = dealt.mapInArrow(_accumulator(sent, k, prune), "_q int, doc_id bigint, score double")
+    kind = dict(queries.dtypes)["qid"]
+    asked = F.broadcast(spark.createDataFrame(list(enumerate(qids)), f"_q int, qid {kind}"))
+    return top(found.join(asked, "_q").select("qid", "doc_id", "score"), k)
+
+
+def of_terms(postings: DataFrame, terms: list[str]) -> DataFrame:
+    """Postings of some terms; files and row groups hold ranges of terms, so a few names skip most of them."""
+    if len(terms) > PUSHED:
+        return postings
+    if len(terms) > 8:
+        return postings.where(F.col("term").isin(terms))
+    wanted = F.lit(False)
+    for t in terms:
+        wanted = wanted | (F.col("term") == t)
+    return postings.where(wanted)
+
+
+def _accumulator(sent, k: int, prune: bool):  # noqa: ANN001, ANN202
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """term, document and part of the postings of each block, by term."""
+        now, held = None, []
+        for batch in batches:
+            block, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cuts = np.flatnonzero(np.diff(block)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(block)], strict=True):
+                if lo == hi:
+                    continue
+                if held and block[lo] != now:
+                    yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                    held = []
+                now = block[lo]
+                held.append([c[lo:hi] for c in columns])
+        if held:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+    def best(row: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        some = np.flatnonzero(row > 0)
+        score = np.round(row[some], DIGITS)
+        if len(some) > k:
+            keep = score >= np.partition(score, len(some) - k)[len(some) - k]
+            some, score = some[keep], score[keep]
+        order = np.lexsort((some, -score))[:k]  # documents ascend
+        return docs[some[order]], row[some[order]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, asked, weights, n = sent.value
+        safe = prune and not (weights < 0).any()
+        reached = np.zeros((n, k)) if safe else None
+        for term, doc, part in blocks(batches):
+            docs, column = np.unique(doc, return_inverse=True)
+            cuts = [0, *(np.flatnonzero(np.diff(term)) + 1).tolist(), len(term)]
+            runs = [(a, b, asked[lists[t] : lists[t + 1]], weights[lists[t] : lists[t + 1]]) for a, b, t in zip(cuts, cuts[1:], term[cuts[:-1]].tolist(), strict=False)]
+            bound = np.zeros(n)
+            for a, b, q, w in runs:
+                bound[q] += np.abs(w) * np.abs(part[a:b]).max()
+            least = reached.min(axis=1) if safe else np.zeros(n)
+            active = np.flatnonzero((bound > 0) & (bound * (1 + 1e-9) + 1e-8 >= least))
+            out = [[], [], []]
+            step = max(1, CELLS // len(docs))
+            for at in range(0, len(active), step):
+                own = active[at : at + step]
+                place = np.full(n, -1)
+                place[own] = np.arange(len(own))
+                score = np.zeros((len(own), len(docs)))
+                for a, b, q, w in runs:
+                    row = place[q]
+                    use = row >= 0
+                    if use.any():
+                        score[row[use][:, None], column[a:b]] += w[use][:, None] * part[a:b]
+                for q, row in zip(own.tolist(), score, strict=True):
+                    found, value = best(row, docs)
+                    out[0].append(np.full(len(found), q, np.int32))
+                    out[1].append(found)
+                    out[2].append(value)
+                    if safe and len(value):
+                        reached[q] = np.sort(np.concatenate([reached[q], value]))[-k:]
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["_q", "doc_id", "score"])
+
+    return run
+
+
+#: Both of the exact strategies a user may name give the same rows.
+search_maxscore = search_many = search
+
+
+def search_wand(index: Index, queries: DataFrame, k: int = 10, model: Model | None = None, **options) -> DataFrame:  # noqa: ANN003
+    """search() with pruning, in smaller blocks, whose bounds are closer. Weights below zero switch pruning off."""
+    return search(index, queries, k, model, **{"prune": True, "width": 512} | options)
 
 
 def search_text(index: Index, queries: DataFrame, k: int = 10, **options) -> DataFrame:  # noqa: ANN003
@@ -102,25 +217,3 @@ def search_one(index: Index, weights: dict[str | int, float], k: int = 10, model
 def from_map(index: Index, queries: dict[int, dict[str | int, float]]) -> DataFrame:
     """queries as a table, from {qid: {term: weight}}."""
     return index.spark.createDataFrame([(q, str(t), float(w)) for q, own in queries.items() for t, w in own.items()], "qid bigint, term string, weight double")
-
-
-def two_phase(index: Index, queries: DataFrame, k: int = 10, model: Model | None = None, width: int = 256) -> DataFrame:
-    """The same result as search(), with document ranges pruned that can't reach a query's k-th score.
-
-    A seed scores each term's strongest postings; its k-th sum bounds the final k-th score from below. Ranges of
-    `width` documents whose summed upper bounds stay under it are skipped. Needs weights that aren't negative.
-    """
-    model = model or index.model
-    stats = index.stats()
-    factors = weighted(index, queries, model)
-    ranged = index.postings.select("term", "doc_id", "value", "dl", F.floor(F.col("doc_id") / width).alias("block"))
-    strongest = Window.partitionBy("term").orderBy(F.col("value").desc(), "doc_id")
-    seed = ranged.join(factors.select("term").distinct(), "term", "left_semi").withColumn("_r", F.row_number().over(strongest)).where(F.col("_r") <= k)
-    part = F.col("factor") * model.posting_factor(F.col("value"), F.col("dl"), stats)
-    summed = seed.join(factors, "term").groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
-    floor = top(summed, k).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
-    blocks = ranged.groupBy("term", "block").agg(F.max("value").alias("max_value"), F.min("dl").alias("min_dl"))
-    bound = F.sum(F.col("factor") * model.upper_bound(F.col("max_value"), F.col("min_dl"), stats)).alias("bound")
-    kept = blocks.join(factors, "term").groupBy("qid", "block").agg(bound).join(floor, "qid", "left").where("least is null or bound >= least * (1 - 1e-9)").select("qid", "block")
-    hits = ranged.join(factors, "term").join(kept, ["qid", "block"], "left_semi")
-    return top(hits.groupBy("qid", "doc_id").agg(F.sum(part).alias("score")), k)

@@ -25,7 +25,7 @@ class SegmentedIndex:
     def __len__(self) -> int:
         return len(self.segments)
 
-    def postings(self, deleted: list[DocSet] | None = None, allowed: list[DocSet] | None = None) -> DataFrame:
+    def postings(self, deleted: list[DocSet] | None = None, allowed: list[DocSet] | None = None, positions: bool = False) -> DataFrame:
         """All postings with their segment, filtered by each segment's own sets."""
         for name, sets in (("deleted", deleted), ("allowed", allowed)):
             if sets is not None and len(sets) != len(self.segments):
@@ -33,7 +33,7 @@ class SegmentedIndex:
         out = None
         for i, s in enumerate(self.segments):
             rows = filtered(s.postings, doc_set(s, deleted[i] if deleted else None), doc_set(s, allowed[i] if allowed else None))
-            rows = rows.select(F.lit(i).alias("segment"), "term", "doc_id", F.col("value").cast("double").alias("value"), "dl")
+            rows = rows.select(F.lit(i).alias("segment"), "term", "doc_id", F.col("value").cast("double").alias("value"), "dl", *(["positions"] if positions else []))
             out = rows if out is None else out.unionByName(rows)
         return out
 
@@ -61,11 +61,17 @@ class SegmentedIndex:
         return top(scored, k, ("segment", "doc_id")).select("qid", "rank", "segment", "doc_id", "score")
 
     def merged(self) -> Index:
-        """One index of all segments, whose documents must not share numbers: of two versions the later segment's counts."""
-        rows = self.postings()
-        latest = rows.groupBy("doc_id").agg(F.max("segment").alias("segment"))
-        kept = rows.join(latest, ["doc_id", "segment"], "left_semi").select("term", "doc_id", "value", "dl", F.lit(None).cast("array<int>").alias("positions"))
-        docs = self.segments[0].docs
-        for s in self.segments[1:]:
-            docs = docs.unionByName(s.docs)
-        return replace(self.segments[0], postings=kept, docs=docs.groupBy("doc_id").agg(F.max("dl").alias("dl")), _terms=None, _stats=None)
+        """One index of all segments: of a document's versions the later segment's counts, also if that has no terms.
+
+        Positions stay if every segment has them; otherwise the index says that it has none.
+        """
+        positions = all(s.options.positions for s in self.segments)
+        versions = None
+        for i, s in enumerate(self.segments):
+            own = s.docs.select("doc_id", F.struct(F.lit(i).alias("segment"), "dl").alias("version"))
+            versions = own if versions is None else versions.unionByName(own)
+        latest = versions.groupBy("doc_id").agg(F.max("version").alias("version")).select("doc_id", "version.segment", "version.dl")
+        kept = self.postings(positions=positions).join(latest.select("doc_id", "segment"), ["doc_id", "segment"], "left_semi")
+        kept = kept.select("term", "doc_id", "value", "dl", F.col("positions") if positions else F.lit(None).cast("array<int>").alias("positions"))
+        first = self.segments[0]
+        return replace(first, postings=kept, docs=latest.select("doc_id", "dl"), options=replace(first.options, positions=positions), _terms=None, _stats=None)

@@ -1,7 +1,8 @@
 """Text analysis as a plan: tokens with positions, stop words, stems.
 
-Tokenizers are column expressions. Stemming is the one part that needs Python: it runs over the distinct words, in
-Arrow batches, and is joined back, so that its cost follows the vocabulary and not the text.
+Tokenizers are column expressions: a text becomes an array of terms, in which a null keeps the place of what was left
+out. Stemming is the one part that needs Python: it maps the arrays of an Arrow batch through their distinct words, of
+which each worker remembers the stems, so that a text is read once and no word is shuffled.
 """
 
 from __future__ import annotations
@@ -10,10 +11,10 @@ import json
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tarn.functions import stemmers, stopwords, tokenizers
 
@@ -55,37 +56,26 @@ class Analyzer:
 
     # --- plans
 
-    def tokens(self, docs: DataFrame, key: str = "doc_id", text: str = "text", for_query: bool = False, lengths: bool = False) -> DataFrame:
-        """key, pos, term (and dl, how many terms the text keeps): a row for each term that stays.
-
-        Stop words compared before stemming go while a text is still one row, so neither positions without gaps nor
-        lengths need its tokens gathered again; only filters after stemming do.
-        """
+    def arrays(self, docs: DataFrame, key: str = "doc_id", text: str = "text", for_query: bool = False) -> DataFrame:
+        """key, words: the terms of each text in their places; null where one was left out, unless gaps are closed."""
         words = set(self.stop_words) | (set(self.query_stop_words) if for_query else set())
+        without = lambda array, listed: F.transform(array, lambda w: F.when(~w.isin(sorted(listed)), w))
         array = tokenizers.TOKENIZERS[self.tokenizer](F.col(text))
-        stemmed = bool(self.stemmer and self.stemmer != "none")
-        late = stemmed or (bool(words) and self.stop_mode != PRE)
         if words and self.stop_mode in (PRE, BOTH):
-            listed = sorted(words)
-            array = F.transform(array, lambda w: F.when(~w.isin(listed), w))
-        if not self.position_gaps and not late:
-            array = F.filter(array, F.isnotnull)
+            array = without(array, words)
         rows = docs.select(F.col(key).cast("bigint").alias(key), array.alias("words"))
-        own = []
-        if lengths and not late:  # taken below the explode: once for each text
-            rows, own = rows.withColumn("dl", F.size(F.filter("words", F.isnotnull)).cast("int")), ["dl"]
-        rows = rows.select(key, *own, F.posexplode("words").alias("pos", "word")).where("word is not null")
-        if stemmed:
-            rows = rows.join(stems(rows.select("word").distinct(), self.stemmer, self.language), "word").select(key, "pos", F.col("stem").alias("term")).where("term <> ''")
-        else:
-            rows = rows.withColumnRenamed("word", "term")
+        if self.stemmer and self.stemmer != "none":
+            rows = stemmed(rows, self.stemmer, self.language)
         if words and self.stop_mode != PRE:
-            rows = rows.where(~F.col("term").isin(sorted(words if self.stop_mode == POST else {self.stem(w) for w in words})))
-        if not self.position_gaps and late:
-            rows = rows.withColumn("pos", (F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1).cast("int"))
-        if lengths and late:
-            rows = rows.withColumn("dl", F.count("*").over(Window.partitionBy(key)).cast("int"))
-        return rows.select(key, "pos", "term", *(["dl"] if lengths else []))
+            rows = rows.withColumn("words", without(F.col("words"), words if self.stop_mode == POST else {self.stem(w) for w in words}))
+        return rows if self.position_gaps else rows.withColumn("words", F.filter("words", F.isnotnull))
+
+    def tokens(self, docs: DataFrame, key: str = "doc_id", text: str = "text", for_query: bool = False, lengths: bool = False) -> DataFrame:
+        """key, pos, term (and dl, how many terms the text keeps): a row for each term that stays."""
+        rows, own = self.arrays(docs, key, text, for_query), []
+        if lengths:  # taken below the explode: once for each text
+            rows, own = rows.withColumn("dl", F.size(F.filter("words", F.isnotnull)).cast("int")), ["dl"]
+        return rows.select(key, *own, F.posexplode("words").alias("pos", "term")).where("term is not null").select(key, "pos", "term", *own)
 
     def stem(self, word: str) -> str:
         f = stemmers.stemmer(self.stemmer, self.language)
@@ -108,16 +98,32 @@ class Analyzer:
         return {w: sorted(t) for w, t in out.items()}
 
 
-def stems(words: DataFrame, name: str, language: str) -> DataFrame:
-    """word, stem for a column of distinct words."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = stemmers.stemmer(name, language)
-        for b in batches:
-            yield pd.DataFrame({"word": b["word"], "stem": [f(w) for w in b["word"]]})
-
-    # A few hundred thousand words look too small to Spark for more than a task; stemming them is worth all cores.
-    return words.select("word").repartition(words.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "word string, stem string")
+#: Words whose stems a worker remembers at most, and texts that are mapped at once.
+REMEMBERED, TEXTS = 1_000_000, 512
+
+
+def stemmed(rows: DataFrame, name: str, language: str) -> DataFrame:
+    """rows (a number and an array of words) with stems for words; a stem of nothing is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, known = stemmers.stemmer(name, language), {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
+                column = part.column(1)
+                coded = column.flatten().dictionary_encode()
+                if len(known) > REMEMBERED:
+                    known.clear()
+                found = []
+                for w in coded.dictionary.to_pylist():
+                    if w not in known:
+                        known[w] = f(w) or None
+                    found.append(known[w])
+                ends = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(found, pa.string()).take(coded.indices))], names=part.schema.names)
+
+    key, words = rows.columns
+    return rows.mapInArrow(run, f"`{key}` bigint, `{words}` array<string>")
 
 
 #: Presets: what each pipeline means.

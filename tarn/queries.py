@@ -19,8 +19,8 @@ from tarn.functions import tokenizers as tok
 from tarn.functions.scoring import BM25, Dot
 from tarn.operators import approx, evaluate, transforms
 from tarn.operators.docstore import DocStore
-from tarn.operators.index import BuildOptions, Index, from_impacts, from_text, numbered
-from tarn.operators.search import search, search_one, search_text, two_phase
+from tarn.operators.index import BuildOptions, Index, dense, from_impacts, from_text, numbered
+from tarn.operators.search import search, search_one, search_text, search_wand
 from tarn.operators.segments import SegmentedIndex
 from tarn.operators.structured import search_structured
 from tarn.plans.analyzer import Analyzer
@@ -79,7 +79,7 @@ def lines_index(spark: SparkSession, sf_dir: str) -> Index:
     return _once(spark, (sf_dir, "lines"), build)
 
 
-def dot_queries(spark: SparkSession, sf_dir: str, every: int = 25) -> DataFrame:
+def dot_queries(spark: SparkSession, sf_dir: str, every: int = 20) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").where(F.col("vec_id") % every == 0)
     return rows.select(F.col("vec_id").alias("qid"), F.posexplode("embedding").alias("t", "w")).where("w > 0").select("qid", F.col("t").cast("string").alias("term"), F.col("w").cast("double").alias("weight"))
 
@@ -116,7 +116,7 @@ _QWORDS = r"""qw AS (SELECT item_id AS qid, unnest(list_transform(regexp_extract
 _ROBERTSON = "greatest(ln((st.n - df + 0.5) / (df + 0.5)), 1e-6)"
 _TF = "tf / (1.2 * 0.25 + 1.2 * 0.75 * dl / st.avgdl + tf)"
 _DOT = """dp AS (SELECT CAST(vec_id AS BIGINT) AS doc_id, CAST(p AS VARCHAR) AS term, v AS value FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(0, len(embedding))) AS p FROM embeddings) WHERE v > 0)"""
-_DOTQ = _DOT + """, dq AS (SELECT doc_id AS qid, term, value AS weight FROM dp WHERE doc_id % 25 = 0)"""
+_DOTQ = _DOT + """, dq AS (SELECT doc_id AS qid, term, value AS weight FROM dp WHERE doc_id % 20 = 0)"""
 _LINES = """lp AS (SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(l_partkey AS VARCHAR) AS term, CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2)"""
 
 
@@ -215,7 +215,7 @@ def build_bow_text(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query("SELECT CAST(x.r AS BIGINT) AS doc_id, CAST(coalesce(d.n, 0) AS INTEGER) AS dl FROM (SELECT unnest(range(0, (SELECT max(l_orderkey) + 1 FROM lineitem))) AS r) x LEFT JOIN (SELECT l_orderkey, sum(floor(v)) AS n FROM (SELECT l_orderkey, l_partkey, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2) GROUP BY 1) d ON d.l_orderkey = x.r")
 def build_dense_lengths(spark, sf_dir):  # noqa: ANN001, ANN201
-    return lines_index(spark, sf_dir).docs.select("doc_id", "dl")
+    return dense(lines_index(spark, sf_dir).docs).select("doc_id", "dl")
 
 
 @query(f"WITH {_POST} SELECT CAST((SELECT sum(tf) FROM post) AS BIGINT) AS tokens, CAST((SELECT count(*) FROM post) AS BIGINT) AS postings, CAST((SELECT count(DISTINCT term) FROM post) AS BIGINT) AS terms")
@@ -232,7 +232,7 @@ def sink_build(spark, sf_dir):  # noqa: ANN001, ANN201
     """What a written index holds, table by table."""
     index = lines_index(spark, sf_dir)
     part = lambda name, df: df.agg(F.lit(name).alias("part"), F.count("*").alias("n"))
-    return part("postings", index.postings).unionByName(part("terms", index.terms)).unionByName(part("docs", index.docs))
+    return part("postings", index.postings).unionByName(part("terms", index.terms)).unionByName(part("docs", dense(index.docs)))
 
 
 @query(f"WITH {_LINES}, m AS (SELECT max(value) AS m FROM lp), r AS (SELECT term, (CAST(greatest(0, least(trunc(value / (m / 16)), 15)) AS BIGINT)) * (m / 16) + m / 32 AS v, floor((row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) / 128) AS b FROM lp, m) SELECT term, CAST(b AS INTEGER) AS block_no, CAST(count(*) AS INTEGER) AS len, max(v) AS max_value FROM r GROUP BY 1, 2")
@@ -409,7 +409,7 @@ def topk_maxscore(spark, sf_dir):  # noqa: ANN001, ANN201
 @query(_bm25())
 def topk_wand(spark, sf_dir):  # noqa: ANN001, ANN201
     index = text_index(spark, sf_dir)
-    return _scored(two_phase(index, index.analyzer.query_terms(text_queries(spark, sf_dir)), 10, BM25()))
+    return _scored(search_wand(index, index.analyzer.query_terms(text_queries(spark, sf_dir)), 10, BM25()))
 
 
 @query(_bm25(idf="ln((st.n - df + 0.5) / (df + 0.5) + 1)"))

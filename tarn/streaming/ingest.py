@@ -47,23 +47,36 @@ class Incremental:
         versions.join(index.postings.groupBy("doc_id").agg(F.max("dl").alias("dl")), "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"), "version").write.mode("overwrite").parquet(f"{self.root}/docs/segment={segment}")
         latest.where("deleted").select("doc_id", "version").write.mode("overwrite").parquet(f"{self.root}/tombstones/segment={segment}")
         index.postings.unpersist()
+        index.docs.unpersist()
 
     def sink(self) -> Callable[[DataFrame, int], None]:
         """For foreachBatch."""
-        return lambda batch, number: self.write_segment(batch.persist(), number)
+
+        def each(batch: DataFrame, number: int) -> None:
+            kept = batch.persist()
+            try:
+                self.write_segment(kept, number)
+            finally:
+                kept.unpersist()
+
+        return each
 
     def follow(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:  # noqa: ANN003
         """Starts the stream (doc_id, text, version, deleted)."""
         return stream.writeStream.foreachBatch(self.sink()).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
-    def current(self) -> DataFrame:
-        """doc_id, version, segment, dl of each document's latest version that isn't deleted."""
+    def _latest(self) -> DataFrame:
+        """doc_id, version, segment, dl and dead (whether it is a deletion) of each document's latest version."""
         docs = self._read("docs", _DOCS)
         dead = self._read("tombstones", _TOMBSTONES).select("doc_id", F.lit(None).cast("int").alias("dl"), "version", "segment")
         every = docs.select("doc_id", "dl", "version", "segment").unionByName(dead)
         # Of equal versions the later segment counts, and a deletion over a document.
         last = every.groupBy("doc_id").agg(F.max(F.struct("version", "segment", F.col("dl").isNull().alias("dead"), "dl")).alias("x"))
-        return last.where("not x.dead").select("doc_id", "x.version", "x.segment", "x.dl")
+        return last.select("doc_id", "x.version", "x.segment", "x.dl", "x.dead")
+
+    def current(self) -> DataFrame:
+        """doc_id, version, segment, dl of each document's latest version that isn't deleted."""
+        return self._latest().where("not dead").drop("dead")
 
     def index(self) -> Index:
         """What searches see."""
@@ -84,7 +97,10 @@ class Incremental:
         return search(Index(rows, lengths, self.analyzer, base.options), queries, k, model)
 
     def merge(self) -> int:
-        """Rewrites all segments as one, numbered after the last; old ones go once it is written."""
+        """Rewrites all segments as one, numbered after the last; old ones go once it is written.
+
+        Deletions stay, with their versions: older data of a deleted document may still arrive.
+        """
         from tarn.sources.store import _fs
 
         now = self.current()
@@ -93,6 +109,7 @@ class Incremental:
         kept = self._read("postings", _POSTINGS).join(now.select("doc_id", "segment", "version"), ["doc_id", "segment", "version"], "left_semi")
         kept.drop("segment").write.mode("overwrite").parquet(f"{self.root}/postings/segment={number}")
         now.select("doc_id", "dl", "version").write.mode("overwrite").parquet(f"{self.root}/docs/segment={number}")
+        self._latest().where("dead").select("doc_id", "version").write.mode("overwrite").parquet(f"{self.root}/tombstones/segment={number}")
         for s in old:
             for name in ("postings", "docs", "tombstones"):
                 fs, where = _fs(self.spark, f"{self.root}/{name}/segment={s}")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tarn.functions.scoring import BM25, Dot
 from tarn.operators import approx, evaluate, transforms
-from tarn.operators.index import BuildOptions, from_impacts, from_positions, from_text
-from tarn.operators.search import from_map, search, search_async, search_text, two_phase
+from tarn.operators import search as search_module
+from tarn.operators.index import BuildOptions, dense, from_impacts, from_positions, from_text
+from tarn.operators.search import from_map, search, search_async, search_text, search_wand
 from tarn.operators.segments import SegmentedIndex
 from tarn.plans.analyzer import Analyzer, chain, pipeline
 
@@ -47,7 +48,16 @@ def test_exact_search(impacts):
     table = from_map(index, queries)
     want = brute(rows, queries, 10)
     assert as_map(search(index, table, 10)) == want
-    assert as_map(two_phase(index, table, 10, width=8)) == want
+    assert as_map(search_wand(index, table, 10, width=8)) == want
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(search_module, "BATCH", 3)  # joined instead
+        assert as_map(search(index, table, 10)) == want
+        m.undo()
+        m.setattr(search_module, "CELLS", 200)  # a few queries at once
+        m.setattr(search_module, "PUSHED", 5)
+        assert as_map(search_wand(index, table, 3, width=4)) == brute(rows, queries, 3)
+    negative = from_map(index, {0: {"1": -1.0, "2": 2.0, "7": 0.5}})
+    assert as_map(search_wand(index, negative, 10, width=4)) == brute(rows, {0: {"1": -1.0, "2": 2.0, "7": 0.5}}, 10)
     got = asyncio.run(search_async(index, table, 10))
     assert len(got) == sum(map(len, want.values()))
     with pytest.raises(ValueError, match="k must"):
@@ -70,7 +80,7 @@ def test_bm25_against_brute_force(spark):
     docs = spark.createDataFrame([(2 * i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")  # odd numbers are gaps
     index = from_text(docs, Analyzer("pisa"))
     n, lengths = 159, {2 * i: len(t.split()) for i, t in enumerate(texts)}
-    assert index.stats().n == n and index.docs.count() == n
+    assert index.stats().n == n and dense(index.docs).count() == n and index.stats().min_dl == 0
     avg = sum(lengths.values()) / n
     query = {"w1": 2.0, "w3": 1.0, "w20": 0.5}
     scores = {}
@@ -84,7 +94,7 @@ def test_bm25_against_brute_force(spark):
     got = search(index, from_map(index, {1: query}), 10, BM25()).collect()
     assert [r["doc_id"] for r in got] == [d for d, _ in want]
     assert [r["score"] for r in got] == pytest.approx([s for _, s in want])
-    same = two_phase(index, from_map(index, {1: query}), 10, BM25(), width=16).collect()
+    same = search_wand(index, from_map(index, {1: query}), 10, BM25(), width=16).collect()
     assert [r["doc_id"] for r in same] == [d for d, _ in want]
 
 

@@ -7,6 +7,7 @@ and join the result back (see plans.analyzer), so it never runs once per occurre
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -201,22 +202,39 @@ def _longest(word: str, suffixes: tuple[str, ...], least: int) -> str:
 
 
 def german_normal(word: str) -> str:
-    """Umlauts and their spellings with e alike, sharp s as ss."""
-    w = word.replace("ß", "ss")
-    for two, one in (("ae", "a"), ("oe", "o")):
-        w = w.replace(two, one)
-    w = "".join(c for i, c in enumerate(w) if not (c == "e" and i > 0 and w[i - 1] == "u" and (i < 2 or w[i - 2] not in "qae")))
-    return plain(w)
+    """Umlauts and their spellings with e alike, sharp s as ss. A u that follows a vowel, q or y isn't an umlaut's."""
+    w = re.sub("([ao])e|(?<![aeiouqyäöü])(u)e", lambda m: m[1] or m[2], word)
+    return w.replace("ß", "ss").translate(str.maketrans("äöü", "aou"))
+
+
+# Fixed values of the light stemmers by J. Savoy (University of Neuchâtel): accents, letters, endings and the lengths
+# that a word must exceed.
+_GERMAN_ACCENTS = str.maketrans("äàáâöòóôïìíîüùúû", "aaaaooooiiiiuuuu")
+_GERMAN_BEFORE = "bdfghklmnt"
+_GERMAN_FIRST = (("ern", 5), ("em", 4), ("en", 4), ("er", 4), ("es", 4), ("e", 3), ("s", 3))
+_GERMAN_SECOND = (("est", 5), ("er", 4), ("en", 4), ("st", 4))
+_SPANISH_ACCENTS = str.maketrans("àáâäòóôöèéêëùúûüìíîï", "aaaaooooeeeeuuuuiiii")
+_SPANISH_PLURALS = (("eses", "es"), ("ces", "z"), ("os", ""), ("as", ""), ("es", ""))
+_FRENCH_ACCENTS = str.maketrans("àáâôèéêùûîç", "aaaoeeeuuic")
+#: Ending, length, what stands in its place, and whether the word is then done.
+_FRENCH = (
+    ("issement", 9, "ir", True), ("issant", 8, "ir", True), ("ement", 6, "e", True), ("ficatrice", 11, "fier", True), ("ficateur", 10, "fier", True), ("catrice", 9, "quer", True), ("cateur", 8, "quer", True),
+    ("atrice", 8, "er", True), ("ateur", 7, "er", True), ("trice", 6, "teur", False), ("ième", 5, "", True), ("teuse", 7, "ter", True), ("teur", 6, "ter", True), ("euse", 5, "eu", True), ("ère", 8, "er", True), ("ive", 7, "if", True),
+    ("folle", 4, "fou", True), ("molle", 4, "mou", True), ("nnelle", 9, "n", True), ("nnel", 9, "n", True), ("ète", 4, "et", False), ("ique", 8, "", False), ("esse", 8, "e", True), ("inage", 7, "in", True),
+    ("isation", 9, "", True), ("isateur", 9, "", True), ("ation", 8, "", True), ("ition", 8, "", True),
+)
 
 
 def german(word: str) -> str:
-    """Plural and case endings, in two rounds."""
-    w = german_normal(word)
-    for s, least in (("ern", 4), ("em", 4), ("en", 4), ("er", 4), ("es", 4), ("e", 3), ("s", 4), ("n", 4)):
-        if w.endswith(s) and len(w) - len(s) >= least - 1 and (s not in ("s", "n") or w[-2] in "bdfghklmntre"):
-            w = w[: -len(s)]
-            break
-    return _longest(w, ("est", "er", "en", "st"), 4)
+    """Case and plural endings, then those of comparison: one of each at most."""
+    w = german_normal(word).translate(_GERMAN_ACCENTS)
+    for endings in (_GERMAN_FIRST, _GERMAN_SECOND):
+        for end, least in endings:
+            rest = w.removesuffix(end)
+            if rest != w and len(w) > least and (end not in ("s", "st") or rest[-1] in _GERMAN_BEFORE):
+                w = rest
+                break
+    return w
 
 
 def french_elision(word: str) -> str:
@@ -228,40 +246,50 @@ def french_elision(word: str) -> str:
     return word
 
 
+def _french_plain(w: str) -> str:
+    """No accents, no letter twice in a row, and no verbal or feminine ending, in words of more than four letters."""
+    if len(w) > 4:
+        w = w.translate(_FRENCH_ACCENTS)
+        w = "".join(c for i, c in enumerate(w) if not (i and c == w[i - 1] and c.isalpha()))
+    if len(w) > 4 and w.endswith("ie"):
+        w = w[:-2]
+    if len(w) > 4:
+        for end in "ree":
+            w = w.removesuffix(end)
+        if len(w) > 1 and w[-1] == w[-2] and w[-1].isalpha():
+            w = w[:-1]
+    return w
+
+
 def french(word: str) -> str:
-    """Plural, feminine and frequent derivational endings; no diacritics or doubled letters at the end."""
+    """Plurals, then the endings of the table in its order."""
     w = french_elision(word)
-    if len(w) > 5:
-        if w.endswith("aux") and not w.endswith("eaux"):
-            w = w[:-2] + "l"
-        elif w.endswith("x"):
-            w = w[:-1]
-    if w.endswith("s") and len(w) > 4:
-        w = w[:-1]
-    for s, to in (("issement", "ir"), ("issant", "ir"), ("atrice", "ateur"), ("ation", "er"), ("ement", "e"), ("ment", ""), ("euse", "eur"), ("ivité", "if"), ("ité", ""), ("ive", "if"), ("ienne", "ien"), ("elle", "el"), ("ière", "ier"), ("ée", "é")):
-        if w.endswith(s) and len(w) - len(s) > 3:
-            w = w[: -len(s)] + to
-            break
-    w = plain(w)
-    if w.endswith(("er", "ie")) and len(w) > 4:
-        w = w[:-2] if w.endswith("ie") else w[:-1]
-    if len(w) > 4 and w[-1] in "re":
-        w = w[:-1]
-    return w[:-1] if len(w) > 3 and w[-1] == w[-2] else w
+    if len(w) > 5 and w[-1] == "x":
+        w = w[:-2] + "l" if w[-3:-1] == "au" and w[-4] != "e" else w[:-1]
+    for end in "xs":
+        if len(w) > 3:
+            w = w.removesuffix(end)
+    for end, least, to, done in _FRENCH:
+        if len(w) > least and w.endswith(end):
+            w = w.removesuffix(end) + to
+            if end == "ement" and len(w) > 3 and w.endswith("ive"):
+                w = w[:-2] + "f"
+            elif end == "isation" and len(w) > 5 and w.endswith("ual"):
+                w = w[:-2] + "el"
+            if done:
+                break
+    return _french_plain(w)
 
 
 def spanish(word: str) -> str:
-    """Number and gender endings."""
-    w = plain(word)
+    """Gender endings, or plurals with them, in words of more than four letters."""
+    w = word.translate(_SPANISH_ACCENTS)
     if len(w) < 5:
         return w
     if w[-1] in "oae":
         return w[:-1]
-    if w.endswith("eses"):
-        return w[:-2]
-    if w.endswith("ces"):
-        return w[:-3] + "z"
-    return w[:-2] if w.endswith(("os", "as", "es")) else w
+    end, to = next(((e, t) for e, t in _SPANISH_PLURALS if w.endswith(e)), ("", ""))
+    return w.removesuffix(end) + to
 
 
 def arabic_normal(word: str) -> str:

@@ -47,8 +47,8 @@ def lucene_english(text: Column) -> Column:
 
 
 def lucene_standard(text: Column) -> Column:
-    """Unicode words; those over 255 characters leave a hole."""
-    return F.transform(standard(text), lambda x: F.when(F.length(x) <= LONGEST, x))
+    """Unicode words; those over 255 UTF-16 units leave a hole."""
+    return F.transform(standard(text), lambda x: F.when(F.octet_length(F.encode(x, "UTF-16BE")) <= 2 * LONGEST, x))
 
 
 def whitespace(text: Column) -> Column:
@@ -82,8 +82,19 @@ TOKENIZERS: dict[str, Callable[[Column], Column]] = {
     "lucene-standard": lucene_standard,
     "whitespace": whitespace,
     "cjk": cjk,
-    "icu": standard,  # no dictionaries here: runs of South-East Asian scripts stay whole
+    "icu": standard,  # no dictionaries here, see DEGRADED: runs of South-East Asian scripts stay whole
 }
+#: Tokenizers that fall short of their names in languages that need a dictionary, and what they do instead.
+DEGRADED = {"icu": "without a dictionary, runs of South-East Asian scripts stay whole and ideographs stand alone; register() a segmenter for better words"}
+
+
+def register(name: str, tokenizer: Callable[[Column], Column]) -> None:
+    """Adds a tokenizer of one's own, such as a Pandas UDF around a dictionary segmenter, under a name that analyzers may use."""
+    if name.lower() != name or not name:
+        raise ValueError("names of tokenizers are lower case")
+    TOKENIZERS[name] = tokenizer
+    DEGRADED.pop(name, None)
+
 
 # Language codes and names.
 LANGUAGES = {

@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,8 +26,50 @@ from tarn.operators.index import Index
 DocSet = DataFrame | Iterable[int] | Iterable[bool] | None
 
 
-def doc_set(index: Index, ids: DocSet) -> DataFrame | None:
-    """A set of documents as a table of doc_id: from a table, numbers, or a mask by document number."""
+class Documents:
+    """A set of document numbers as a table (doc_id), with the algebra of sets; no operation runs a job but `in` and len()."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
+
+    @staticmethod
+    def of(spark: SparkSession, ids: Iterable[int]) -> Documents:
+        return Documents(spark.createDataFrame([(int(i),) for i in ids], "doc_id bigint"))
+
+    @staticmethod
+    def from_mask(spark: SparkSession, mask: Iterable[bool]) -> Documents:
+        return Documents.of(spark, (i for i, x in enumerate(mask) if x))
+
+    def __or__(self, other: Documents) -> Documents:
+        return Documents(self.rows.unionByName(other.rows))
+
+    def __and__(self, other: Documents) -> Documents:
+        return Documents(self.rows.join(other.rows, "doc_id", "left_semi"))
+
+    def __sub__(self, other: Documents) -> Documents:
+        return Documents(self.rows.join(other.rows, "doc_id", "left_anti"))
+
+    def insert(self, *ids: int) -> Documents:
+        return self | Documents.of(self.rows.sparkSession, ids)
+
+    def remove(self, *ids: int) -> Documents:
+        return self - Documents.of(self.rows.sparkSession, ids)
+
+    def complement(self, n: int) -> Documents:
+        """The numbers below n that aren't in the set."""
+        return Documents(self.rows.sparkSession.range(n).withColumnRenamed("id", "doc_id")) - self
+
+    def __contains__(self, number: int) -> bool:
+        return self.rows.where(F.col("doc_id") == int(number)).limit(1).count() > 0
+
+    def __len__(self) -> int:
+        return self.rows.count()
+
+
+def doc_set(index: Index, ids: DocSet | Documents) -> DataFrame | None:
+    """A set of documents as a table of doc_id: from a set, a table, numbers, or a mask by document number."""
+    if isinstance(ids, Documents):
+        return ids.rows
     if ids is None or isinstance(ids, DataFrame):
         return ids
     given = list(ids)
@@ -132,12 +174,18 @@ def _accumulator(sent, k: int, prune: bool):  # noqa: ANN001, ANN202
                 if lo == hi:
                     continue
                 if held and block[lo] != now:
-                    yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                    yield whole(held)
                     held = []
                 now = block[lo]
                 held.append([c[lo:hi] for c in columns])
         if held:
-            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            yield whole(held)
+
+    def whole(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+        """A block's postings; those of one term and document, as split lists have them, are added up."""
+        term, doc, part = (np.concatenate(c) for c in zip(*held, strict=True))
+        new = np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])])
+        return [term, doc, part] if new.all() else [term[new], doc[new], np.add.reduceat(part, np.flatnonzero(new))]
 
     def best(row: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         some = np.flatnonzero(row > 0)

@@ -46,6 +46,11 @@ class Analyzer:
         if self.stop_mode not in (PRE, POST, BOTH):
             raise ValueError(f"unknown stop word mode '{self.stop_mode}', expected one of: {PRE}, {POST}, {BOTH}")
 
+    @property
+    def degraded(self) -> str | None:
+        """What this analysis can't do for its language; nothing where it is complete."""
+        return tokenizers.DEGRADED.get(self.tokenizer) if self.language in tokenizers.NEEDS_SEGMENTATION else None
+
     def to_json(self) -> str:
         return json.dumps(asdict(self), ensure_ascii=False, sort_keys=True)
 

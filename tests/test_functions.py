@@ -113,3 +113,36 @@ def test_k3(spark):
     for t, x in (("a", 1.0), ("b", 0.5), ("c", 0.25)):
         assert got[t] == pytest.approx(9 * x / (8 + x))
     assert {r["weight"] for r in scoring.BM25().query_weights(q).collect()} == {2.0, 1.0, 0.5}
+
+
+@pytest.mark.parametrize(
+    ("stem", "words"),
+    [
+        (stemmers.german, "kindern:kind häuser:haus frauen:frau schönste:schon bücher:buch autos:autos treue:treu größer:gross quelle:quell"),
+        (stemmers.spanish, "gatos:gat luces:luz meses:mes niñas:niñ camiones:camion canción:cancion sol:sol"),
+        (stemmers.french, "chevaux:cheval heureuse:heureu intuitivement:intuitif quatrième:quat ouvrière:ouvrier amplificateur:amplifi petites:petit l'avions:avion"),
+    ],
+)
+def test_published_light_stemmers(stem, words):
+    for pair in words.split():
+        word, want = pair.split(":")
+        assert stem(word) == want
+
+
+def test_segmenters_of_ones_own(spark):
+    from tarn.plans.analyzer import Analyzer
+
+    assert "dictionary" in Analyzer("icu", None, "thai").degraded and Analyzer("icu").degraded is None
+    T.register("halves", lambda text: F.array(F.substring(text, 1, 2), F.substring(text, 3, 2)))
+    try:
+        docs = spark.createDataFrame([(1, "abcd")], "doc_id bigint, text string")
+        assert sorted(r["term"] for r in Analyzer("halves", None, "thai").tokens(docs).collect()) == ["ab", "cd"]
+    finally:
+        del T.TOKENIZERS["halves"]
+    with pytest.raises(ValueError, match="lower case"):
+        T.register("X", T.pisa)
+
+
+def test_utf16_lengths(spark):
+    wide = "\U0001d4d0"  # a letter of two units
+    assert tokens(spark, T.lucene_standard, f"{wide * 127} {wide * 128}") == [wide * 127, None]

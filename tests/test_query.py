@@ -125,3 +125,19 @@ def test_numbered_terms(spark):
     assert index.num_terms() == 3 and index.stats().n == 3 and index.value_range(2) == (0.0, 2.0) and index.term_row(9)["df"] == 0
     got = search_structured(index, {1: {"combine": [[1, 1], [2, 2]]}}).collect()
     assert [(r["doc_id"], r["score"]) for r in got] == [(2, 4.0), (0, 3.5)]
+
+
+def test_table_of_queries_and_bounds(spark, monkeypatch):
+    from tarn.operators import structured
+
+    docs = spark.createDataFrame([(0, "a b a c"), (1, "b c"), (2, "a a a")], "doc_id bigint, text string")
+    index = from_text(docs, Analyzer("pisa"), BuildOptions(positions=True, dtype="int32"))
+    texts = {1: "#1(a b)", 2: "#syn(b c)", 3: '{"band": ["a", "c"]}', 4: "a"}
+    table = spark.createDataFrame(list(texts.items()), "qid bigint, query string")
+    want = sorted(tuple(r) for r in search_structured(index, texts | {3: {"band": ["a", "c"]}}, 5, BM25()).collect())
+    assert sorted(tuple(r) for r in search_structured(index, table, 5, BM25()).collect()) == want
+    monkeypatch.setattr(structured, "QUERIES", 2)
+    monkeypatch.setattr(structured, "SMALL", 0)
+    assert sorted(tuple(r) for r in search_structured(index, table, 5, BM25()).collect()) == want
+    nodes = [T("a"), T("zork"), Q.Syn(("a", "b")), Q.Phrase(("a", "c")), Q.Window(("a", "zork"), 4), Q.Band((T("a"), T("b")))]
+    assert list(structured.bounds(index, nodes).values()) == [3.0, 0.0, 4.0, 1.0, 0.0, 1.0]

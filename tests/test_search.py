@@ -254,3 +254,32 @@ def test_postings_scan_reads_no_positions(spark, tmp_path):
     plan = search(index, from_map(index, {1: {"a": 1.0}}), 5, BM25())._jdf.queryExecution().toString()
     scans = [line.split("ReadSchema")[1] for line in plan.splitlines() if "FileScan" in line]
     assert scans and any("value" in s for s in scans) and not any("positions" in s for s in scans)
+
+
+def test_document_sets(spark):
+    from tarn.operators.search import Documents
+
+    a, b = Documents.of(spark, [1, 2, 3, 3]), Documents.from_mask(spark, [False, False, True, True, True])
+    ids = lambda x: sorted(r["doc_id"] for r in x.rows.collect())
+    assert ids(a | b) == [1, 2, 3, 4] and ids(a & b) == [2, 3] and ids(a - b) == [1] and len(a) == 3
+    assert ids(a.insert(9).remove(1, 7)) == [2, 3, 9] and 2 in a and 5 not in a and ids(a.complement(5)) == [0, 4]
+
+
+def test_merged_segments_keep_versions_and_positions(spark):
+    from tarn.operators.structured import search_structured
+
+    build = lambda rows: from_text(spark.createDataFrame(rows, "doc_id bigint, text string"), Analyzer("pisa"), BuildOptions(positions=True, dtype="int32"))
+    whole = SegmentedIndex([build([(1, "a b c"), (2, "a b")]), build([(1, ""), (3, "b a b")])]).merged()
+    assert sorted((r["doc_id"], r["dl"]) for r in whole.docs.collect()) == [(1, 0), (2, 2), (3, 3)]
+    assert {r["doc_id"] for r in search(whole, from_map(whole, {1: {"a": 1.0}}), 5, Dot()).collect()} == {2, 3}
+    assert {r["doc_id"] for r in search_structured(whole, {1: "#1(b a)"}, 5, Dot()).collect()} == {3}
+
+
+def test_pruned_index_recall(spark):
+    r = random.Random(4)
+    rows = [(d, [str(t) for t in terms], [r.uniform(0.05, 2) for _ in terms]) for d in range(600) for terms in [sorted(r.sample(range(60), 20))]]
+    index = from_impacts(spark.createDataFrame(rows, "doc_id bigint, terms array<string>, values array<double>"), BuildOptions(dtype="float64"))
+    table = from_map(index, {q: {str(t): r.uniform(0.1, 1) for t in r.sample(range(60), 15)} for q in range(15)})
+    exact = {(x["qid"], x["doc_id"]) for x in search(index, table, 10, Dot()).collect()}
+    found = {(x["qid"], x["doc_id"]) for x in approx.PrunedIndex.build(index).search(table, 10).collect()}
+    assert len(exact & found) / len(exact) >= 0.9

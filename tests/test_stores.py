@@ -94,3 +94,9 @@ def test_stream_of_segments(spark, tmp_path):
     inc.merge()
     assert hits(inc) == sorted(want)
     assert len(list((tmp_path / "root/postings").glob("segment=*"))) == 1
+    # deletions outlive the merge: older data of a deleted document that arrives late changes nothing
+    inc.write_segment(spark.createDataFrame([(1, "cat old", 1, False), (0, "cat older", 1, False)], schema), 50)
+    assert hits(inc) == sorted(want)
+    inc.merge()
+    inc.write_segment(spark.createDataFrame([(1, "cat new", 3, False)], schema), 60)
+    assert hits(inc) == sorted([*want, (1, 1)])

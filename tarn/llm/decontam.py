@@ -291,4 +291,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW
     rows, row = _store.numbered(docs)
     index = build_index(rows, row)
     hit = _store.written(matches(index, benchmark, width, (0,), block_words).where(F.size("items") > 0).select(F.col("row").alias(row)))
+    _store.forget(index)
     return rows.join(hit, row, "left_anti").select(*docs.columns)

@@ -39,7 +39,7 @@ TREES, DEPTH = 20, 7
 FLOOR, TARGET = 0.995, 0.999
 DEVIATIONS = 4.5
 #: Documents and bytes of text in a block of a split work group (a block holds at least one document, of any length).
-BLOCK_DOCS, BLOCK_BYTES = 512, 1 << 20
+BLOCK_DOCS, BLOCK_BYTES = 256, 1 << 20
 #: Signatures in a block of a split node.
 NODE_BLOCK = 2048
 
@@ -280,11 +280,12 @@ def _joined(docs: DataFrame, row: str, width: int, threshold: float, trees: int,
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("lead")
     classes = _store.written(signed.groupBy("whole").agg(F.min("row").alias("rep"), lead, F.count("*").alias("members"), F.first("labels").alias("labels"), F.first("size").alias("size")))
     depths = list(range(prefix_length(threshold, trees, depth, floor), prefix_length(threshold, trees, depth, target) - 1, -1))
-    parts, edges, links, recalls = None, None, None, []
+    parts, edges, links, recalls, spent = None, None, None, [], [classes]
     for k, d in enumerate(depths):
         new = _met(classes, parts, d, depth, threshold)
         edges = new if edges is None else edges.unionByName(new)
         before, parts = parts, components(edges)
+        spent += [new, parts]
         member = parts.select(F.col("node").alias("rep"), F.col("first").alias("work"))
         member = member.withColumn("part", F.col("rep")) if before is None else member.join(before.select(F.col("node").alias("rep"), F.col("first").alias("part")), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
         member = _store.written(member.join(classes.select("rep", "members", "size"), "rep"))
@@ -295,6 +296,7 @@ def _joined(docs: DataFrame, row: str, width: int, threshold: float, trees: int,
         cells = placed.join(rows.select(F.col("row").alias("rep"), "text"), "rep").repartition("work", "low", "high").sortWithinPartitions("work", "low", "high", "rep")
         found = _store.written(cells.select("work", "low", "high", "rep", "part", "block", "members", "text").mapInArrow(_verify(width, threshold, trees, depths), _LINKS))
         links = found if links is None else links.unionByName(found)
+        spent.append(found)
         _store.forget(member, groups)
         seen = links.agg(F.coalesce(F.sum("partners"), F.lit(0)).alias("found"), F.sum(F.col("stand")[k]).alias("stand")).first()
         recalls.append((d, seen["found"] / seen["stand"] if seen["found"] else 0.0))
@@ -306,8 +308,10 @@ def _joined(docs: DataFrame, row: str, width: int, threshold: float, trees: int,
     ends = classes.select("whole", "rep", "lead", "members").join(counted, "rep", "left").withColumn("set", F.coalesce("set", "rep"))
     ends = ends.join(joined.select(F.col("node").alias("rep"), F.col("first").alias("group")), "rep", "left").withColumn("group", F.coalesce("group", "rep"))
     ends = _store.written(ends)
+    spent += [joined, ends]
     firsts = lambda name: ends.groupBy(name).agg(F.min("lead").alias(f"{name}_lead"))
     out = _store.written(ends.join(firsts("group"), "group").join(firsts("set"), "set").select("whole", F.col("set_lead.doc_id").alias("copy_id"), F.col("group_lead.doc_id").alias("class_id"), F.col("group_lead.row").alias("keeper"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links")))
+    _store.forget(*spent)
     return signed, out, recalls
 
 
@@ -321,5 +325,7 @@ def join(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD, tr
 def keep_first(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each component alone: that of the smallest doc_id (rows without one come last), the first of equal ones."""
     rows, row = _store.numbered(docs)
-    _, ends, _ = _joined(rows, row, width, threshold, TREES, DEPTH, FLOOR, TARGET)
-    return rows.join(ends.select(F.col("keeper").alias(row)).distinct(), row, "left_semi").select(*docs.columns)
+    signed, ends, _ = _joined(rows, row, width, threshold, TREES, DEPTH, FLOOR, TARGET)
+    later = _store.written(signed.select("row", "whole").join(ends, "whole").where(F.col("row") != F.col("keeper")).select(F.col("row").alias(row)))
+    _store.forget(signed, ends)
+    return rows.join(later, row, "left_anti").select(*docs.columns)

@@ -53,9 +53,13 @@ def _encoder(name: str):
     """
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+    @functools.cache
+    def whole():  # noqa: ANN202  loaded where a text needs it
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     special = {"<|endoftext|>": len(ranks)}
@@ -64,7 +68,7 @@ def _encoder(name: str):
 
     def encode(text: str) -> np.ndarray:
         if len(text) >= _LONG_RUN and _WHITE_RUN.search(text):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(whole().encode(text, add_special_tokens=False).ids, np.uint32)
         if "<|" not in text:
             return np.array(plain.encode_ordinary(text), np.uint32)
         ids: list[int] = []

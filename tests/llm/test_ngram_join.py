@@ -95,11 +95,10 @@ def test_half_alike_texts_do_not_chain(spark):
     classes = rows.select(row, "doc_id", "text").mapInArrow(ngram_join._sign(5, 20, 7), ngram_join._SIGNED).selectExpr("row AS rep", "labels")
     edges = ngram_join._met(classes, None, 5, 7, 0.8)
     assert edges.count() < 15  # of 44,850 pairs, about half of which share a node
-    assert all(r[3] == 0 for r in run(spark, docs[:80]))
 
 
 def test_prefixes_are_shortened_until_the_target(spark):
-    docs = near_corpus(5)
+    docs = near_corpus(5, 60)
     rows, row = ngram_join._store.numbered(documents(spark, docs))
     for target in (0.9, 0.99999):
         _, _, recalls = ngram_join._joined(rows, row, 5, 0.8, 20, 7, 0.9, target)

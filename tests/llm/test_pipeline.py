@@ -42,6 +42,31 @@ def test_stages_against_brute_force(spark):
     assert place(whole) == place(packed)
 
 
+def test_stages_take_any_rows(spark):
+    """Null and repeated ids, null, empty and repeated texts, clashing columns, and no rows at all."""
+    from .helpers import documents
+
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first()["text"]
+    good = next(r["text"] for r in quality.keep_good(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")).where("length(text) between 200 and 900").take(1))
+    rows = [(None, None), (None, ""), (1, good), (1, good), (1, good[::-1]), (None, good), (2, item), (None, item), (3, "mail a@b.c " + good.upper()[:90]), (4, " " * 20_000)]
+    docs = documents(spark, rows)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, docs, DATA)
+        got = out.collect()
+        if name == "near_copies":  # empty texts stay, one row of each other text does
+            assert sorted((r["doc_id"] is None, r["text"] or "") for r in got) == sorted([(True, ""), (True, ""), (False, good), (False, good[::-1]), (False, item), (False, rows[8][1]), (False, rows[9][1])])
+        elif name == "decontamination":
+            assert sorted(r["text"] or "" for r in got) == sorted(t or "" for _, t in rows if t != item)
+        elif name == "personal_data":
+            assert len(got) == len(rows) and not any("a@b.c" in (r["text"] or "") for r in got)
+        if name != "packing":
+            assert out.columns == docs.columns
+        else:
+            assert sum(r["piece"] == 0 for r in got) == len(rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).collect() == []
+
+
 def test_all_are_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)

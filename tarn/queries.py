@@ -253,10 +253,13 @@ def sink_bmp(spark, sf_dir):  # noqa: ANN001, ANN201
     return store.save_variant(approx.BlockMaxIndex.build(dot_index(spark, sf_dir)), f"{_folder(spark)}/bmp-{time.monotonic_ns()}").block_max
 
 
-@query()
+_LISTS = """l AS (SELECT term, doc_id FROM (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY value DESC, doc_id) AS r FROM dp) WHERE r <= 9000)"""
+
+
+@query(f"WITH {_DOT}, {_LISTS} SELECT term, doc_id FROM l")
 def sink_seismic(spark, sf_dir):  # noqa: ANN001, ANN201
-    """The pruned form, written and opened again."""
-    return store.save_variant(approx.PrunedIndex.build(dot_index(spark, sf_dir)), f"{_folder(spark)}/pruned-{time.monotonic_ns()}").lists
+    """The pruned form with its usual parameters, written and opened again: what its lists hold."""
+    return store.save_variant(approx.PrunedIndex.build(dot_index(spark, sf_dir)), f"{_folder(spark)}/pruned-{time.monotonic_ns()}").lists.select("term", "doc_id")
 
 
 # ------------------------------------------------------------------------------------------------------ tokenizers
@@ -330,6 +333,44 @@ st AS (SELECT word, CASE WHEN w LIKE '%ll' AND regexp_matches(w, {_M1}) THEN lef
 )
 
 
+_BRIEF = "'^[aeiouy][^aeiouy]$|[^aeiouy][aeiouy][^aeiouywxY]$'"
+_ENDS2 = "tional|enci|anci|abli|entli|izer|ization|ational|ation|ator|alism|aliti|alli|fulness|ousli|ousness|iveness|iviti|biliti|bli|ogi|fulli|lessli|li"
+_ENDS3 = "tional|ational|alize|icate|iciti|ical|ful|ness|ative"
+_ENDS4 = "al|ance|ence|er|ic|able|ible|ant|ement|ment|ent|ism|ate|iti|ous|ive|ize|ion"
+
+
+def _porter2() -> str:
+    """The second algorithm: regions as lengths, told by patterns on the word once its consonant y are marked."""
+    end = lambda ends, k: f"regexp_extract(w, '^(.*?)({ends})$', {k})"
+    to = lambda pairs: "CASE e " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in pairs.items()) + " ELSE '' END"
+    forms = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
+    same = "'sky', 'news', 'howe', 'atlas', 'cosmos', 'bias', 'andes'"
+    two = {"tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less"}
+    three = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic"}
+    marked = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(term, '^''+', ''), '^y', 'Y'), '([aeiouyY])y', '\\1Y', 'g'), '([aeiouyY])y', '\\1Y', 'g')"
+    return ", ".join(
+        [
+            f"a0 AS (SELECT DISTINCT term AS word, {marked} AS w FROM ut WHERE length(term) >= 3 AND regexp_matches(term, '^[\\x00-\\x7F]+$') AND term NOT IN ({same}, {', '.join(repr(k) for k in forms)}))",
+            "a1 AS (SELECT word, w, CASE WHEN regexp_matches(w, '^(?:gener|commun|arsen)') THEN length(regexp_extract(w, '^(?:gener|commun|arsen)')) WHEN regexp_matches(w, '^[^aeiouy]*[aeiouy]+[^aeiouy]') THEN length(regexp_extract(w, '^[^aeiouy]*[aeiouy]+[^aeiouy]')) ELSE length(w) END AS r1 FROM a0)",
+            "a2 AS (SELECT word, w, r1, CASE WHEN regexp_matches(substring(w, r1 + 1), '^[^aeiouy]*[aeiouy]+[^aeiouy]') THEN r1 + length(regexp_extract(substring(w, r1 + 1), '^[^aeiouy]*[aeiouy]+[^aeiouy]')) ELSE length(w) END AS r2 FROM a1)",
+            "a3 AS (SELECT word, r1, r2, regexp_replace(w, '(?:''s''|''s|'')$', '') AS w FROM a2)",
+            "a4 AS (SELECT word, r1, r2, CASE WHEN w LIKE '%sses' THEN left(w, -2) WHEN w LIKE '%ied' OR w LIKE '%ies' THEN CASE WHEN length(w) > 4 THEN left(w, -2) ELSE left(w, -1) END WHEN w LIKE '%s' AND w NOT LIKE '%us' AND w NOT LIKE '%ss' AND regexp_matches(left(w, -2), '[aeiouy]') THEN left(w, -1) ELSE w END AS w FROM a3)",
+            "kept AS (SELECT word, w FROM a4 WHERE w IN ('inning', 'outing', 'canning', 'herring', 'earring', 'proceed', 'exceed', 'succeed'))",
+            f"a5 AS (SELECT word, r1, r2, w, {end('eedly|eed|edly|ed|ingly|ing', 1)} AS b, {end('eedly|eed|edly|ed|ingly|ing', 2)} AS e FROM a4 WHERE word NOT IN (SELECT word FROM kept))",
+            f"a6 AS (SELECT word, r1, r2, CASE WHEN e IN ('eed', 'eedly') THEN CASE WHEN length(b) >= r1 THEN b || 'ee' ELSE w END WHEN e <> '' AND regexp_matches(b, '[aeiouy]') THEN CASE WHEN regexp_matches(b, '(?:at|bl|iz)$') THEN b || 'e' WHEN regexp_matches(b, '(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(b, -1) WHEN r1 >= length(b) AND regexp_matches(b, {_BRIEF}) THEN b || 'e' ELSE b END ELSE w END AS w FROM a5)",
+            "a7 AS (SELECT word, r1, r2, CASE WHEN length(w) > 2 AND regexp_matches(w, '[^aeiouy][yY]$') THEN left(w, -1) || 'i' ELSE w END AS w FROM a6)",
+            f"a8 AS (SELECT word, r1, r2, w, {end(_ENDS2, 1)} AS b, {end(_ENDS2, 2)} AS e FROM a7)",
+            f"a9 AS (SELECT word, r1, r2, CASE WHEN e = '' OR length(b) < r1 THEN w WHEN e = 'li' THEN CASE WHEN regexp_matches(b, '[cdeghkmnrt]$') THEN b ELSE w END WHEN e = 'ogi' AND b NOT LIKE '%l' THEN w ELSE b || {to(two)} END AS w FROM a8)",
+            f"b0 AS (SELECT word, r1, r2, w, {end(_ENDS3, 1)} AS b, {end(_ENDS3, 2)} AS e FROM a9)",
+            f"b1 AS (SELECT word, r1, r2, CASE WHEN e = '' OR length(b) < r1 OR (e = 'ative' AND length(b) < r2) THEN w ELSE b || {to(three)} END AS w FROM b0)",
+            f"b2 AS (SELECT word, r1, r2, w, {end(_ENDS4, 1)} AS b, {end(_ENDS4, 2)} AS e FROM b1)",
+            "b3 AS (SELECT word, r1, r2, CASE WHEN e = '' OR length(b) < r2 OR (e = 'ion' AND NOT regexp_matches(b, '[st]$')) THEN w ELSE b END AS w FROM b2)",
+            f"b4 AS (SELECT word, CASE WHEN w LIKE '%e' THEN CASE WHEN length(w) - 1 >= r2 OR (length(w) - 1 >= r1 AND NOT regexp_matches(left(w, -1), {_BRIEF})) THEN left(w, -1) ELSE w END WHEN w LIKE '%ll' AND length(w) - 1 >= r2 THEN left(w, -1) ELSE w END AS w FROM b3)",
+            "st AS (SELECT word, lower(w) AS stem FROM (SELECT * FROM b4 UNION ALL SELECT * FROM kept UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({a!r}, {b!r})" for a, b in forms.items()) + ") f(word, w)))",
+        ]
+    )
+
+
 def _first_case(column: str, endings: list[tuple[str, int, str, str]]) -> str:
     """The first ending of the list that a word longer than a length has, replaced; a condition may be added."""
     return "CASE " + " ".join(f"WHEN length({column}) > {n} AND {column} LIKE '%{e}'{more} THEN left({column}, -{len(e)}) || '{to}'" for e, n, to, more in endings) + f" ELSE {column} END"
@@ -386,7 +427,7 @@ def stem_porter(spark, sf_dir):  # noqa: ANN001, ANN201
     return _stemmed(spark, sf_dir, "porter", "english")
 
 
-@query()
+@query(f"WITH {_UNICODE}, {_porter2()}{_COUNTED}")
 def stem_snowball(spark, sf_dir):  # noqa: ANN001, ANN201
     return _stemmed(spark, sf_dir, "snowball", "english")
 
@@ -662,10 +703,11 @@ def bmp_search(spark, sf_dir):  # noqa: ANN001, ANN201
     return _scored(approx.BlockMaxIndex.build(dot_index(spark, sf_dir)).search(dot_queries(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {_DOT}, {_LISTS} SELECT term, CAST(count(*) AS BIGINT) AS n, true AS grouped FROM l GROUP BY 1")
 def seismic_build(spark, sf_dir):  # noqa: ANN001, ANN201
-    built = approx.PrunedIndex.build(dot_index(spark, sf_dir))
-    return built.lists.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("block").alias("blocks"))
+    """Lists and whether each is in blocks of two documents at least, but for the block of what is left."""
+    blocks = approx.PrunedIndex.build(dot_index(spark, sf_dir)).lists.groupBy("term", "block").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return blocks.groupBy("term").agg(F.sum("n").alias("n"), F.bool_and((F.col("docs") == F.col("n")) & ((F.col("block") == -1) | (F.col("n") >= 2))).alias("grouped"))
 
 
 @query("SELECT true AS enough")

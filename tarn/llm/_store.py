@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ROOT = Path(__file__).resolve().parents[2]
+#: Bytes of a row group in intermediate tables: what a writer holds and a reader takes at once, rows being whole texts or postings of many.
+ROW_GROUP = 16 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -49,7 +51,7 @@ def written(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     try:
         spark.conf.set(_CLEANUP, "true")
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)
@@ -94,7 +96,7 @@ def _sweep() -> None:
 
 
 #: Rows and bytes of an Arrow batch, where the session leaves Spark's defaults: rows are whole texts here.
-ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 
 
 def ship(spark: SparkSession) -> None:

@@ -35,6 +35,9 @@ NEAR = 2
 #: Words of the benchmark that are sent to the workers at once, at most.
 BLOCK_WORDS = 2_000_000
 
+#: Bytes of texts in a shard of the index (a shard holds one text at least, of any length).
+SHARD_BYTES = 1 << 20
+
 _INDEX = "rows array<bigint>, doc_ids array<bigint>, sizes binary, words binary, word_ends binary, counts binary, positions binary"
 _MATCHES = "row bigint, doc_id bigint, n_words bigint, spans array<struct<first:bigint,last:bigint>>, items array<bigint>, near array<bigint>"
 
@@ -69,7 +72,7 @@ class _Phrases:
 def _indexer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _INDEX.split(", ")]
     for batch in batches:
-        for at, to, data, bounds in _text.chunks(batch.column(2)):
+        for at, to, data, bounds in _text.chunks(batch.column(2), SHARD_BYTES):
             doc, word, words = _text.word_codes(data, bounds, _text.ALNUM, _text.FOLD_ASCII)
             word = word.astype(np.uint16) if len(words) <= 1 << 16 else word
             counts = np.bincount(word, minlength=len(words)).astype(np.int32)

@@ -146,3 +146,22 @@ def test_segmenters_of_ones_own(spark):
 def test_utf16_lengths(spark):
     wide = "\U0001d4d0"  # a letter of two units
     assert tokens(spark, T.lucene_standard, f"{wide * 127} {wide * 128}") == [wide * 127, None]
+
+
+def test_porter_agrees_with_its_sql_on_words_of_few_letters():
+    """Words that begin with y, hold two of them or are all consonants, which few real words do."""
+    import random
+
+    import duckdb
+
+    from tarn import queries
+
+    pick = random.Random(5)
+    ends = ["", "s", "ed", "ing", "eed", "y", "e", "ll", "ies", "ational", "ness", "ion", "ement"]
+    words = sorted({"".join(pick.choice("yyaebtslwx") for _ in range(pick.randint(1, 6))) + pick.choice(ends) for _ in range(20000)})
+    db = duckdb.connect()
+    db.execute("CREATE TABLE ut AS SELECT unnest($1) AS term", [words])
+    wanted = dict(db.execute(f"WITH {queries._PORTER} SELECT word, stem FROM st").fetchall())
+    stem = stemmers.stemmer("porter", "english")
+    assert {w: stem(w) for w in words if w in wanted} == wanted
+    assert [stem(w) for w in ("ydoiee", "yllcoll", "ylltae")] == ["ydoie", "yllcol", "yllta"]

@@ -283,3 +283,15 @@ def test_pruned_index_recall(spark):
     exact = {(x["qid"], x["doc_id"]) for x in search(index, table, 10, Dot()).collect()}
     found = {(x["qid"], x["doc_id"]) for x in approx.PrunedIndex.build(index).search(table, 10).collect()}
     assert len(exact & found) / len(exact) >= 0.9
+
+
+def test_pruned_lists_keep_their_strongest_whatever_the_others_hold(spark):
+    r = random.Random(8)
+    rows = [(d, [str(t) for t in range(4)], [r.choice((0.5, 1.0, 1.5)) + t for t in range(4)]) for d in range(50)]
+    index = from_impacts(spark.createDataFrame(rows, "doc_id bigint, terms array<string>, values array<double>"), BuildOptions(dtype="float64"))
+    cells = [(-v, t, d) for d, terms, values in rows for t, v in zip(terms, values)]
+    strongest = {(t, d) for t in "0123" for _, _, d in sorted(x for x in cells if x[1] == t)[:15]}
+    lists = lambda **more: {(x["term"], x["doc_id"]) for x in approx.PrunedIndex.build(index, n_postings=10, **more).lists.collect()}
+    assert lists() == strongest
+    first = sorted(cells)[:40]  # ten a term, of all lists together
+    assert lists(global_threshold=True) == {(t, d) for t in "0123" for _, _, d in sorted(x for x in first if x[1] == t)[:15]}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.scoring import Model, Stats
 from tarn.operators.index import Index
-from tarn.operators.search import DocSet, doc_set, filtered, top
+from tarn.operators.search import DocSet, batches, candidates, doc_set, filtered, top
 
 ALGORITHMS = ("maxscore", "wand")
 
@@ -27,14 +27,20 @@ class SegmentedIndex:
 
     def postings(self, deleted: list[DocSet] | None = None, allowed: list[DocSet] | None = None, positions: bool = False) -> DataFrame:
         """All postings with their segment, filtered by each segment's own sets."""
+        out = None
+        for rows in self._rows(deleted, allowed, positions):
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def _rows(self, deleted: list[DocSet] | None = None, allowed: list[DocSet] | None = None, positions: bool = False) -> list[DataFrame]:
+        """The postings of each segment, filtered by its own sets."""
         for name, sets in (("deleted", deleted), ("allowed", allowed)):
             if sets is not None and len(sets) != len(self.segments):
                 raise ValueError(f"'{name}' has {len(sets)} entries for {len(self.segments)} segments")
-        out = None
+        out = []
         for i, s in enumerate(self.segments):
             rows = filtered(s.postings, doc_set(s, deleted[i] if deleted else None), doc_set(s, allowed[i] if allowed else None))
-            rows = rows.select(F.lit(i).alias("segment"), "term", "doc_id", F.col("value").cast("double").alias("value"), "dl", *(["positions"] if positions else []))
-            out = rows if out is None else out.unionByName(rows)
+            out.append(rows.select(F.lit(i).alias("segment"), "term", "doc_id", F.col("value").cast("double").alias("value"), "dl", *(["positions"] if positions else [])))
         return out
 
     def stats(self) -> Stats:
@@ -47,17 +53,21 @@ class SegmentedIndex:
         """qid, rank, segment, doc_id, score. Statistics of a model are those of all segments together."""
         if algorithm not in ALGORITHMS:
             raise ValueError(f"unknown algorithm '{algorithm}', expected one of: {', '.join(ALGORITHMS)}")
+        if k < 1:
+            raise ValueError("k must be at least 1")
         model, stats = model or self.segments[0].model, self.stats()
-        rows = self.postings(deleted, allowed)
+        rows = self._rows(deleted, allowed)
         merged = queries.groupBy("qid", "term").agg(F.sum("weight").alias("weight"))
         if model.needs_df:
             every = self.postings()
             merged = model.query_weights(merged.join(every.groupBy("term").agg(F.count("*").alias("df")), "term"))
             merged = merged.select("qid", "term", (F.col("weight") * model.term_factor(F.col("df"), stats)).alias("factor"))
         else:
-            merged = merged.withColumnRenamed("weight", "factor")
-        part = F.col("factor") * model.posting_factor(F.col("value"), F.col("dl"), stats)
-        scored = rows.join(merged, "term").groupBy("qid", "segment", "doc_id").agg(F.sum(part).alias("score"))
+            merged = model.query_weights(merged).select("qid", "term", F.col("weight").cast("double").alias("factor"))
+        part, batch, scored = model.posting_factor(F.col("value"), F.col("dl"), stats), list(batches(merged)), None
+        for i in range(len(self.segments)):
+            own = candidates(rows[i], part, batch, k).withColumn("segment", F.lit(i))
+            scored = own if scored is None else scored.unionByName(own)
         return top(scored, k, ("segment", "doc_id")).select("qid", "rank", "segment", "doc_id", "score")
 
     def merged(self) -> Index:

@@ -321,3 +321,13 @@ def test_no_search_joins_queries_with_postings(impacts):
                         scores[q, x["doc_id"]] = scores.get((q, x["doc_id"]), 0) + weights[q, x["term"]] * x["q"]
             for q in queries:
                 assert as_map(found[2]).get(q, []) == [(d, float(s)) for s, d in sorted(((s, d) for (a, d), s in scores.items() if a == q and s > 0), key=lambda x: (-x[0], x[1]))[:4]]
+
+
+def test_reorder_does_not_depend_on_where_parts_are_halved(spark):
+    r = random.Random(2)
+    rows = [(d * 3, sorted({f"{r.randrange(4)}-{r.randrange(9)}" for _ in range(6)})) for d in range(150)]
+    index = from_impacts(spark.createDataFrame([(d, t, [1.0] * len(t)) for d, t in rows], "doc_id bigint, terms array<string>, values array<double>"))
+    order = lambda most: [x["doc_id"] for x in transforms.reorder_map(index, leaf=16, rounds=4, bucket_docs=most).orderBy("new_id").collect()]
+    whole = order(1000)
+    assert sorted(whole) == [d for d, _ in rows] and whole != sorted(whole)
+    assert order(40) == whole

@@ -368,3 +368,21 @@ def test_impacts_of_one_row_a_document_are_not_shuffled(spark, impacts):
     assert same(again.postings, "term", "doc_id", "dl") == same(from_impacts(twice, BuildOptions(dtype="float64")).postings, "term", "doc_id", "dl")
     with pytest.raises(Exception, match="more than once"):
         from_impacts(spark.createDataFrame([(0, ["a", "a"], [1.0, 2.0])], docs.schema), keep=False).postings.collect()
+
+
+def test_picked_values_need_no_ranking(spark):
+    from tarn.operators import ranking
+
+    r = random.Random(6)
+    lists = {"a": [r.gauss(0, 1) for _ in range(300)], "b": [-0.0, 0.0, 5e-324, -1e300, float("inf"), 1.5, 1.5, 1.5], "c": [2.0]}
+    rows = spark.createDataFrame([(t, v) for t, own in lists.items() for v in own], "term string, value double").repartition(3)
+    wanted = [(t, j, rank) for t, own in lists.items() for j, rank in enumerate((1, 2, len(own) // 2 + 1, len(own), len(own) + 1))]
+    expected = {(t, j): sorted(lists[t])[rank - 1] if rank <= len(lists[t]) else None for t, j, rank in wanted}
+    places = spark.createDataFrame(wanted, "term string, j int, rank bigint")
+    with pytest.MonkeyPatch.context() as m:
+        assert {(x["term"], x["j"]): x["value"] for x in ranking.picked(rows, places).collect()} == expected
+        m.setattr(ranking, "ranked", None)  # not needed for a few places
+        ranking.picked(rows, places)
+        m.undo()
+        m.setattr(ranking, "FEW", 3)
+        assert {(x["term"], x["j"]): x["value"] for x in ranking.picked(rows, places).collect()} == expected

@@ -386,3 +386,23 @@ def test_picked_values_need_no_ranking(spark):
         m.undo()
         m.setattr(ranking, "FEW", 3)
         assert {(x["term"], x["j"]): x["value"] for x in ranking.picked(rows, places).collect()} == expected
+
+
+def test_bisection_holds_few_numbers_a_pair():
+    import tracemalloc
+
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    n = 4000
+    doc, term = np.repeat(np.arange(n, dtype=np.int32), 100), (g.random(100 * n) ** 2 * 20_000).astype(np.int32)
+    with pytest.MonkeyPatch.context() as m:
+        wanted = transforms.bisect(doc[:40_000], term[:40_000], 400, rounds=3)
+        m.setattr(transforms, "PAIRS", 150)
+        assert (transforms.bisect(doc[:40_000], term[:40_000], 400, rounds=3) == wanted).all()
+    tracemalloc.start()
+    try:
+        assert sorted(transforms.bisect(doc, term, n, leaf=n - 1, rounds=2)) == list(range(n))
+        assert tracemalloc.get_traced_memory()[1] < 35 * len(doc)
+    finally:
+        tracemalloc.stop()

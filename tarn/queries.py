@@ -72,6 +72,10 @@ def dot_index(spark: SparkSession, sf_dir: str) -> Index:
     return _once(spark, (sf_dir, "dot"), build)
 
 
+def _pruned(spark: SparkSession, sf_dir: str, **options: float) -> approx.PrunedIndex:
+    return approx.PrunedIndex.build(dot_index(spark, sf_dir), store=store.keeper(f"{_folder(spark)}/clusters-{time.monotonic_ns()}"), **options)
+
+
 def lines_index(spark: SparkSession, sf_dir: str) -> Index:
     def build() -> Index:
         cells = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("t")).agg(F.sum("l_quantity").cast("double").alias("v"))
@@ -259,7 +263,7 @@ _LISTS = """l AS (SELECT term, doc_id FROM (SELECT term, doc_id, row_number() OV
 @query(f"WITH {_DOT}, {_LISTS} SELECT term, doc_id FROM l")
 def sink_seismic(spark, sf_dir):  # noqa: ANN001, ANN201
     """The pruned form with its usual parameters, written and opened again: what its lists hold."""
-    return store.save_variant(approx.PrunedIndex.build(dot_index(spark, sf_dir)), f"{_folder(spark)}/pruned-{time.monotonic_ns()}").lists.select("term", "doc_id")
+    return store.save_variant(_pruned(spark, sf_dir), f"{_folder(spark)}/pruned-{time.monotonic_ns()}").lists.select("term", "doc_id")
 
 
 # ------------------------------------------------------------------------------------------------------ tokenizers
@@ -706,7 +710,7 @@ def bmp_search(spark, sf_dir):  # noqa: ANN001, ANN201
 @query(f"WITH {_DOT}, {_LISTS} SELECT term, CAST(count(*) AS BIGINT) AS n, true AS grouped FROM l GROUP BY 1")
 def seismic_build(spark, sf_dir):  # noqa: ANN001, ANN201
     """Lists and whether each is in blocks of two documents at least, but for the block of what is left."""
-    blocks = approx.PrunedIndex.build(dot_index(spark, sf_dir)).lists.groupBy("term", "block").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    blocks = _pruned(spark, sf_dir).lists.groupBy("term", "block").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
     return blocks.groupBy("term").agg(F.sum("n").alias("n"), F.bool_and((F.col("docs") == F.col("n")) & ((F.col("block") == -1) | (F.col("n") >= 2))).alias("grouped"))
 
 
@@ -714,14 +718,14 @@ def seismic_build(spark, sf_dir):  # noqa: ANN001, ANN201
 def seismic_recall(spark, sf_dir):  # noqa: ANN001, ANN201
     """With default parameters, whether nine in ten of the exact ten best are found."""
     index, queries = dot_index(spark, sf_dir), dot_queries(spark, sf_dir)
-    found = approx.PrunedIndex.build(index).search(queries, 10).select("qid", "doc_id", F.lit(1).alias("hit"))
+    found = _pruned(spark, sf_dir).search(queries, 10).select("qid", "doc_id", F.lit(1).alias("hit"))
     return search(index, queries, 10, Dot()).join(found, ["qid", "doc_id"], "left").agg((F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("enough"))
 
 
 @query(f"WITH {_DOTQ} " + _ranked("SELECT qid, dp.doc_id, sum(weight * value) AS score FROM dq JOIN dp ON dp.term = dq.term GROUP BY 1, 2"))
 def seismic_search(spark, sf_dir):  # noqa: ANN001, ANN201
     """With parameters that prune nothing the result is exact."""
-    built = approx.PrunedIndex.build(dot_index(spark, sf_dir), n_postings=10**7, centroid_fraction=0.02)
+    built = _pruned(spark, sf_dir, n_postings=10**7, centroid_fraction=0.02)
     return _scored(built.search(dot_queries(spark, sf_dir), 10, query_cut=10**6, heap_factor=0.0))
 
 

@@ -406,3 +406,40 @@ def test_bisection_holds_few_numbers_a_pair():
         assert tracemalloc.get_traced_memory()[1] < 35 * len(doc)
     finally:
         tracemalloc.stop()
+
+
+def test_lists_are_clustered_around_documents(spark):
+    """Documents of one kind share blocks, whatever the list and however few centres are broadcast at once."""
+    r = random.Random(9)
+    rows = [(d, ["all", *(f"{d % 3}-{i}" for i in range(3))], [r.uniform(0.5, 1), *(r.uniform(5, 6) for _ in range(3))]) for d in range(120)]
+    index = from_impacts(spark.createDataFrame(rows, "doc_id bigint, terms array<string>, values array<double>"), BuildOptions(dtype="float64"))
+    told = []
+    with pytest.MonkeyPatch.context() as m:
+        for most in (approx.ROUND, 40):
+            m.setattr(approx, "CENTRES", most)
+            m.setattr(approx, "ROUND", most)
+            m.setattr(approx, "CELLS", most)
+            built = approx.PrunedIndex.build(index, min_cluster_size=4)
+            blocks = {}
+            for x in built.lists.collect():
+                blocks.setdefault((x["term"], x["block"]), set()).add(x["doc_id"])
+            assert sum(len(b) for (t, _), b in blocks.items() if t == "all") == 120 and sum(t == "all" for t, _ in blocks) >= 3
+            assert all(len(b) >= 4 and len({d % 3 for d in b}) == 1 for b in blocks.values())
+            sums = {}
+            for x in built.summaries.collect():
+                sums.setdefault((x["term"], x["block"]), {})[x["component"]] = round(x["value"], 9)
+            want = {}
+            for at, own in blocks.items():
+                peaks = {}
+                for d in own:
+                    for t, v in zip(rows[d][1], rows[d][2]):
+                        peaks[t] = max(peaks.get(t, 0), v)
+                total, before, kept = sum(peaks.values()), 0.0, {}
+                for t, v in sorted(peaks.items(), key=lambda x: (-x[1], x[0])):
+                    if before < 0.4 * total:
+                        kept[t] = round(v, 9)
+                    before += v
+                want[at] = kept
+            assert sums == want
+            told.append(sorted(map(sorted, blocks.values())))
+    assert told[0] == told[1]

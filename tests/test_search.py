@@ -443,3 +443,22 @@ def test_lists_are_clustered_around_documents(spark):
             assert sums == want
             told.append(sorted(map(sorted, blocks.values())))
     assert told[0] == told[1]
+
+
+def test_pruned_search_joins_no_documents(impacts):
+    """Found documents are scored where they are packed, for groups of queries; no row for each query and document is shuffled."""
+    index, rows, queries = impacts
+    table, built = from_map(index, queries), approx.PrunedIndex.build(index, n_postings=10**6)
+    usual = as_map(built.search(table, 4, query_cut=3))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(approx, "GROUP", 3)
+        m.setattr(approx, "BITS", 60)
+        assert as_map(built.search(table, 10, query_cut=99, heap_factor=0.0)) == brute(rows, queries, 10)
+        assert as_map(built.search(table, 4, query_cut=3)) == usual
+        assert built.search(table.limit(0), 4).count() == 0
+    index.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = built.search(table, 4)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        index.spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan
